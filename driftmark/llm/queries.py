@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import bpe, minhash, packed_ids, quality
+from driftmark.llm import bpe, decontaminate, licenses, minhash, packed_ids, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -56,5 +68,53 @@ FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(verdict, rule, h, p) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+  ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+g(k, pattern, h, p) AS (VALUES (1, '*casino*/*', '%casino%', '%'), (2, '*free-bets*/*', '%free-bets%', '%'), (3, '*poker*/*', '%poker%', '%'), (4, '*xxx*/*', '%xxx%', '%'), (5, '*porn*/*', '%porn%', '%'),
+  (6, '*malware*/*', '%malware%', '%'), (7, '*phish*/*', '%phish%', '%'), (8, '*cheap-pills*/*', '%cheap-pills%', '%'), (9, '*torrent*/*', '%torrent%', '%'), (10, '*/*/phishing/*', '%', '%/phishing/%'), (11, '*/*.exe', '%', '%.exe')),
+x AS (SELECT u.*, (SELECT arg_max(struct_pack(rule := r.rule, verdict := r.verdict), length(r.rule)) FROM r WHERE ends_with('.' || u.host, '.' || r.h) AND starts_with(u.path, r.p)) AS best,
+    (SELECT arg_min(g.pattern, g.k) FROM g WHERE u.host LIKE g.h AND u.path LIKE g.p) AS gl FROM u)
+SELECT page_id, host, path, best.rule AS rule, CASE WHEN best.rule IS NOT NULL THEN best.verdict WHEN gl IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN best.rule IS NULL THEN gl END AS pattern FROM x
+"""
+
+
+def _op6_sql() -> str:
+    templates = ", ".join(f"({t}, '{label}', '{words}', '{key}', {len(words[: words.index(key)].split())})" for t, (label, words, key) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES)
+    stop = ", ".join(f"'{w}'" for w in sorted(licenses.STOP))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+t(t, label, words, key, place) AS (VALUES {templates}),
+tw AS (SELECT t, unnest(string_split(words, ' ')) AS x, unnest(range(len(string_split(words, ' ')))) AS p, len(string_split(words, ' ')) AS n FROM t),
+post AS (SELECT t, x, p FROM tw WHERE x NOT IN ({stop})),
+ph(phrase, label) AS (VALUES {phrases}),
+occ AS (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w),
+base AS (SELECT w.doc_id, o.i, ph.label FROM occ o JOIN w USING (doc_id) JOIN ph ON o.x = string_split(ph.phrase, ' ')[1]
+  WHERE ws[o.i + 1 : o.i + len(string_split(ph.phrase, ' '))] = string_split(ph.phrase, ' ')),
+df AS (SELECT x, count(DISTINCT doc_id) AS n FROM occ WHERE x IN (SELECT x FROM post) GROUP BY x),
+prop AS (SELECT o.doc_id, p.t, o.i - p.p AS s, df.n, min(df.n) OVER (PARTITION BY o.doc_id, p.t) AS least FROM occ o JOIN post p ON p.x = o.x JOIN df ON df.x = o.x),
+starts AS (SELECT DISTINCT doc_id, t, s FROM prop WHERE n = least),
+proved AS (SELECT st.doc_id, st.t, st.s FROM starts st JOIN t USING (t) JOIN w USING (doc_id)
+  WHERE st.s + place >= 0 AND ws[st.s + place + 1 : st.s + place + len(string_split(key, ' '))] = string_split(key, ' ')),
+cover AS (SELECT pr.doc_id, pr.t, pr.s, count(*) FILTER (WHERE o.x = tw.x) / any_value(tw.n) AS c FROM proved pr JOIN tw ON tw.t = pr.t LEFT JOIN occ o ON o.doc_id = pr.doc_id AND o.i = pr.s + tw.p GROUP BY ALL),
+good AS (SELECT doc_id, t.label, max(c) AS c FROM cover JOIN t USING (t) GROUP BY doc_id, t.label HAVING max(c) >= 0.8),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS ls FROM base GROUP BY doc_id),
+g AS (SELECT doc_id, list(label) AS ls, max(c) AS c FROM good GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b.ls, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(g.ls, [])))), ','), '') AS labels,
+  greatest(coalesce(g.c, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+
+OP6_SQL = _op6_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_license_scans": OP6_SQL}
