@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm.textbatch import pieces
+from driftmark.llm.textbatch import Memo, pieces, small_batches
 
 NONE = np.int64(1) << 40
-#: Bytes up to which a piece goes through the row-wise trees; pieces remembered in a worker.
-SHORT, REMEMBERED = 64, 400_000
+#: Bytes up to which a piece goes through the row-wise trees, and how many pieces at once.
+SHORT, ROWS = 64, 10_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -49,7 +49,7 @@ class Encoder:
                     self.pairs[a << 20 | b] = i
         self.keys = np.array(sorted(self.pairs), dtype=np.int64)
         self.values = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.known: dict[str, bytes] = {}
+        self.memo = Memo(self._learn)
 
     # one tree
 
@@ -150,32 +150,28 @@ class Encoder:
 
     # texts
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         groups: dict[int, list[tuple[str, bytes]]] = {}
         for p in new:
             raw = p.encode("utf-8", "replace")
             own = self.ranks.get(raw)
             if own is not None:
-                self.known[p] = np.array([own], dtype="<u4").tobytes()
+                out[p] = np.array([own], dtype="<u4").tobytes()
             elif len(raw) <= SHORT:
                 groups.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((p, raw))
             else:
-                self.known[p] = np.array(self.merge(raw), dtype="<u4").tobytes()
+                out[p] = np.array(self.merge(raw), dtype="<u4").tobytes()
         for width, group in groups.items():
-            for i in range(0, len(group), 20_000):
-                part = group[i : i + 20_000]
-                self.known.update(zip([p for p, _ in part], self.merge_rows([r for _, r in part], width), strict=True))
+            for i in range(0, len(group), ROWS):
+                part = group[i : i + ROWS]
+                out.update(zip([p for p, _ in part], self.merge_rows([r for _, r in part], width), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         split = [self.pattern.findall(t) for t in texts]
-        seen = set().union(*split)
-        new = seen - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = seen
-        self._learn(list(new))
-        get = self.known.__getitem__
+        get = self.memo.known(set().union(*split)).__getitem__
         return [b"".join(map(get, s)) for s in split]
 
     def decode(self, packed: bytes) -> bytes:
@@ -192,6 +188,7 @@ def encoder(raw: bytes, pattern: str) -> Encoder:
 
 def encode_column(spark: SparkSession, path: str, pattern: str, text: str = "text") -> Column:
     """The packed ids of each whole text.  The rank file (read on the driver, under 1 MB) is broadcast."""
+    small_batches(spark)
     with open(path, "rb") as f:
         sent = spark.sparkContext.broadcast((f.read(), pattern))
 
@@ -206,6 +203,7 @@ def encode_column(spark: SparkSession, path: str, pattern: str, text: str = "tex
 
 def decode_column(spark: SparkSession, path: str, pattern: str, ids: str = "ids") -> Column:
     """The bytes that packed ids stand for; null ids give null."""
+    small_batches(spark)
     with open(path, "rb") as f:
         sent = spark.sparkContext.broadcast((f.read(), pattern))
 
