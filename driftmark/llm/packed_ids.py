@@ -26,19 +26,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import Workspace
-from driftmark.llm.textbatch import pieces
+from driftmark.llm.textbatch import Memo, pieces, small_batches
 
 MAGIC, BLOCK = b"PKIDS001", 1 << 16
-REMEMBERED = 400_000
+#: Characters whose words are looked up at once.
+WORD_PIECE = 1_000_000
 #: Ids a reader unpacks at once.
 READ_IDS = 1 << 22
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: A sign between a letter and white space is a pre-token of its own.
+_SIGN = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,;:!?])(?=[ \n])")
+#: Words of Latin letters, digits and ASCII signs, for which lower case and composition change no class; no ``<`` or apostrophe.
+_LATIN = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0139-\u0148\u014a-\u017e]+")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -126,36 +132,75 @@ class PackedReader:
 
 
 class WordEncoder:
-    """A tokenizer whose pre-tokens never cross white space, applied to each distinct word once."""
+    """A tokenizer whose pre-tokens never cross white space, applied to each distinct word once.
+
+    New words are encoded as one text, as a call a word costs more than its merges.  The last token of each pre-token
+    carries the end-of-word mark, so counting pre-tokens tells the words' ids apart; where the counts disagree, or for
+    words beyond Latin letters, each word is a call of its own.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
-        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.tokenizer, self.memo = Tokenizer.from_str(spec), Memo(self._learn)
+        vocabulary, model = self.tokenizer.get_vocab(with_added_tokens=True), json.loads(spec)
+        self.size = max(vocabulary.values()) + 1
+        mark = model["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.size, dtype=bool)
+        if mark:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        self.pattern = regex.compile(_splitter(model)["pattern"]["Regex"])
+        norm = model.get("normalizer") or {}
+        self.lowers = any(n.get("type") == "Lowercase" for n in norm.get("normalizers", [norm]))
+        self.parts_signs = self.pattern.findall("a.") == ["a", "."]
+        self.special = [t["content"] for t in model.get("added_tokens", [])]
+
+    def _each(self, words: list[str]) -> dict[str, bytes]:
+        return dict(zip(words, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)), strict=True))
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        plain, odd, out = [], [], {}
+        for w in new:
+            (plain if _LATIN.fullmatch(w) else odd).append(w)
+        for i in range(0, len(plain), 4000):
+            words = plain[i : i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids])
+            counts = np.cumsum([1 if w.isalpha() else len(self.pattern.findall(w)) for w in words])
+            if len(last) != counts[-1] or not len(last):
+                odd += words
+                continue
+            packed, cuts = ids.tobytes(), (4 * (last[counts - 1] + 1)).tolist()
+            out.update(zip(words, [packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        return out | (self._each(odd) if odd else {})
+
+    def _words(self, text: str) -> list[str]:
+        """Words that encode to the text's ids, as few distinct ones as the tokenizer's own normal form allows."""
+        try:
+            text.encode("latin-1")  # such text is composed already, and each of its letters has one lower-case letter
+        except UnicodeEncodeError:
+            return _SPACE.split(text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") or any(t in text for t in self.special):
+            return _SPACE.split(text)
+        if self.lowers:
+            low = text.lower()
+            if any(t in low for t in self.special):  # in other letters it is ordinary text
+                return _SPACE.split(text)
+            text = low
+        return (_SIGN.sub(r" \1", text) if self.parts_signs else text).split()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as add_special_tokens=False gives them."""
-        split = [_SPACE.split(t) for t in texts]
-        seen = set().union(*split)
-        new = seen - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = seen
-        words = list(new)
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            self.known.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
+        split = [self._words(t) for t in texts]
+        get = self.memo.known(set().union(*split)).__getitem__
         return [np.frombuffer(b"".join(map(get, s)), dtype="<u4") for s in split]
 
 
-def splits_at_space(spec: str) -> bool:
-    """Whether the tokenizer drops white space before merging, so that words can be encoded one by one."""
-    pre = json.loads(spec).get("pre_tokenizer") or {}
-    steps = pre.get("pretokenizers", [pre])
-    return any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps)
+def _splitter(model: dict) -> dict:
+    """The step of a tokenizer's pre-tokenizer that keeps pieces free of white space, or an empty one."""
+    pre = model.get("pre_tokenizer") or {}
+    return next((s for s in pre.get("pretokenizers", [pre]) if s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "Regex" in s.get("pattern", {})), {})
 
 
 def word_encoder(spec: str) -> WordEncoder:
@@ -184,8 +229,9 @@ def write(documents: DataFrame, spec_path: str, end_id: int, folder: str) -> Pac
     """
     with open(spec_path, encoding="utf-8") as f:
         spec = f.read()
-    if not splits_at_space(spec):
+    if not _splitter(json.loads(spec)):
         raise ValueError("the tokenizer keeps white space; words cannot be encoded one by one")
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(spec)
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,7 +243,7 @@ def write(documents: DataFrame, spec_path: str, end_id: int, folder: str) -> Pac
         with fs.open_output_stream(draft) as out:
             writer = PackedWriter(out, bits_for(max(own.size, end_id + 1)))
             for part in parts:
-                for first, run in pieces(part["text"]):
+                for first, run in pieces(part["text"], WORD_PIECE):
                     for k, ids in enumerate(own.encode(run)):
                         d = part["doc_id"].iloc[first + k]
                         writer.add(None if pd.isna(d) else int(d), np.concatenate([ids, end]))
