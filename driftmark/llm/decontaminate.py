@@ -5,9 +5,9 @@ whole in some window.  Scores are BM25 with the item as the document, divided by
 is a passage with all of the item's words.  Every (passage, item) with a score of THRESHOLD or more is retrieved, and
 is a leak if COVER of the word 5-shingles of the item's question and of its answer stand in the passage.
 
-Before the search a bound drops what can't reach the threshold: an item's commonest words together stay below it, so a
-passage without enough weight among the item's other words is out.  The bound is exact; nothing above the threshold
-is lost.
+Before the search a bound drops what can't reach the threshold: an item's commonest words have at most REST of its
+weight together, so a passage without the rest of the threshold among the item's other words is out.  The bound is
+exact; nothing above the threshold is lost.
 
 The index is of the test items, not of the corpus.  It is cut into blocks of BLOCK_ITEMS items and BLOCK_CHARS
 characters, each broadcast on its own and searched in a pass of its own; document frequencies are of all items.
@@ -30,7 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.llm.textbatch import small_batches
+
 THRESHOLD, COVER, SHINGLE = 0.6, 0.8, 5
+#: Share of an item's weight that its commonest words, which the bound doesn't look up, may have together.
+REST = 0.3
 BLOCK_ITEMS, BLOCK_CHARS, POSTINGS_BLOCK = 4096, 4_000_000, 16
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
@@ -79,7 +83,7 @@ class Index:
                     rows.append([])
                     essential.append([])
                 rows[term].append((k, x))
-                if low + x < threshold - 1e-9:
+                if low + x < REST:
                     low += x
                 else:
                     essential[term].append((k, x))
@@ -225,6 +229,7 @@ def _searcher(sent):
 
 def leaks_column(spark: SparkSession, benchmark: DataFrame, text: str = "text") -> Column:
     """The leaks of each whole text, as an array; one Python pass a block of items."""
+    small_batches(spark)
     columns = []
     for items, frequency, total, mean in blocks(benchmark):
         columns.append(_searcher(spark.sparkContext.broadcast(Index(items, frequency, total, mean)))(F.col(text)))
