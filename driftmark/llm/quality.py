@@ -21,11 +21,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.llm.textbatch import small_batches
+
 BLOCK = 2048
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 #: Labelled rows a class that a fit may use at most, and bytes of text a class that enter a dictionary's training.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 TRAIN_BYTES = 8_000_000
 THRESHOLD = 0.3
 
@@ -96,32 +98,43 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[:DICTIONARY_BYTES]
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "key", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Fit on rows (key, text, label 0/1).  Rows with other labels or without text are ignored.
+def sample(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(key, text, label) of at most ``sample_rows`` rows a class, of those that are not held out.
 
-    The sample is the rows of either class with the smallest hash of key, so repeated runs fit alike.  Without rows
-    of both classes the model scores the share of label 1 (0.5 without any).
+    The rows are drawn by the hash of their id from ``labels`` (doc_id, quality) alone; their texts come by one scan of
+    ``documents`` against the broadcast ids, at most 2 * sample_rows of them.
     """
-    cols = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    rows = {y: [(r["t"] or "").encode("utf-8", "replace") for r in cols.filter((F.col("y") == y) & F.col("t").isNotNull()).orderBy("h", "t").limit(sample_rows).collect()] for y in (1, 0)}
-    rows = {y: [t for t in ts if t] for y, ts in rows.items()}
+    known = labels.select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("label")).filter(F.col("key").isNotNull() & ~held_out("key"))
+    drawn = [known.filter(F.col("label") == y).dropDuplicates(["key"]).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_rows) for y in (1, 0)]
+    docs = documents.select(F.col("doc_id").alias("key"), "text").filter(F.col("text").isNotNull())
+    return docs.join(F.broadcast(drawn[0].union(drawn[1])), "key")
+
+
+def fit(rows: DataFrame) -> QualityModel:
+    """Fit on a bounded sample (key, text, label 0/1).  Rows without text are ignored.
+
+    Rows are taken in the order of their id's hash, so repeated runs fit alike.  Without rows of both classes the
+    model scores the share of label 1 (0.5 without any).
+    """
+    got = sorted(((r["h"], r["text"].encode("utf-8", "replace"), r["label"]) for r in rows.select(F.xxhash64(F.col("key").cast("string")).alias("h"), "text", "label").collect() if r["text"]))
+    rows = {y: [t for _, t, z in got if z == y] for y in (1, 0)}
     if not rows[1] or not rows[0]:
         share = 0.5 if not rows[1] and not rows[0] else 0.999 if rows[1] else 0.001
         return QualityModel(b"", b"", (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
     halves = {y: (ts[::2], ts[1::2] or ts) for y, ts in rows.items()}
     good, bad = _dictionary(halves[1][0]), _dictionary(halves[0][0])
     cg, cb = _compressor(good), _compressor(bad)
-    x, y, side = [], [], []
+    x, y = [], []
     for label_, (_, rest) in halves.items():
         for t in rest:
             x.append(_inputs(*sizes(t.decode("utf-8", "replace"), cg, cb)))
             y.append(label_)
-            side.append(1.0 / len(rest))
     return QualityModel(good, bad, tuple(map(float, _logistic(np.array(x), np.array(y, dtype=float)))))
 
 
 def score_column(spark: SparkSession, model: QualityModel, text: str = "text"):
     """A column with the score of each whole text; the model (two dictionaries of 110 kB) is broadcast once."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -133,12 +146,6 @@ def score_column(spark: SparkSession, model: QualityModel, text: str = "text"):
     return score(F.col(text))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows that are not held out, as (key, text, label)."""
-    docs = documents.select(F.col("doc_id").alias("key"), "text").filter(~held_out("key"))
-    return docs.join(labels.select(F.col("doc_id").alias("key"), F.col("quality").alias("label")).filter(~held_out("key")), "key")
-
-
 def held_out(key: str):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
