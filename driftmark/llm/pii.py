@@ -38,7 +38,7 @@ PATTERNS = (
     ("secret", rf"{_SECRET_CUE}[^\s\"']{{6,}}"),
     ("access", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
     ("card", r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])"),
@@ -68,7 +68,7 @@ def _parts(entity: Column) -> Column:
     gender = F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m").otherwise("n")
     names = F.split(F.lower(bare), " ")
     name = F.when(F.size(names) > 1, F.array(F.struct(F.concat(F.lit("name-"), gender).alias("kind"), names[0].alias("canon")), F.struct(F.lit("name-s").alias("kind"), names[1].alias("canon")))).otherwise(one(F.lit("name-s"), names[0]))
-    return F.when(kind == "name", name).when(kind.isin(*DIGIT_KINDS), one(kind, digits)).when(kind == "email", one(kind, F.lower(entity))).when(kind == "iban", one(kind, F.regexp_replace(entity, " ", ""))).when(kind == "secret", one(kind, bare)).otherwise(one(kind, entity))
+    return F.when(kind == "name", name).when(kind == "phone", one(kind, F.right(digits, F.lit(10)))).when(kind.isin(*DIGIT_KINDS), one(kind, digits)).when(kind == "email", one(kind, F.lower(entity))).when(kind == "iban", one(kind, F.regexp_replace(entity, " ", ""))).when(kind == "secret", one(kind, bare)).otherwise(one(kind, entity))
 
 
 def _byte(stream: Column, k: Column) -> Column:
@@ -113,10 +113,9 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str = KEY) -> Colu
     stream = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.floor(F.length(canon) / 64).cast("int")), lambda k: F.sha2(F.concat_ws("|", seed, k.cast("string")), 512)))
     drawn = _letters(canon, stream, F.lit(0))
     n = F.length(canon)
-    country = F.greatest(n - 10, F.lit(0))
-    area = F.concat(((_byte(stream, F.lit(60)) % 8) + 2).cast("string"), F.substring(drawn, country + 2, F.lit(2)))
-    exchange = F.when((F.substring(canon, country + 4, F.lit(3)) == "555") & (attempt < ATTEMPTS // 2), F.lit("555")).otherwise(F.substring(drawn, country + 4, F.lit(3)))
-    phone = F.when(n >= 10, F.concat(F.substring(canon, F.lit(1), country), area, exchange, F.substring(drawn, country + 7, F.lit(4)))).otherwise(drawn)
+    area = F.concat(((_byte(stream, F.lit(60)) % 8) + 2).cast("string"), F.substring(drawn, 2, 2))
+    exchange = F.when((F.substring(canon, 4, 3) == "555") & (attempt < ATTEMPTS // 2), F.lit("555")).otherwise(F.substring(drawn, 4, 3))
+    phone = F.when(n == 10, F.concat(area, exchange, F.substring(drawn, 7, 4))).otherwise(drawn)
     ip = F.concat_ws(".", (_byte(stream, F.lit(0)) % 16 + 240).cast("string"), _byte(stream, F.lit(1)).cast("string"), _byte(stream, F.lit(2)).cast("string"), (_byte(stream, F.lit(3)) % 254 + 1).cast("string"))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     email = F.concat(_letters(local, stream, F.lit(0)), F.lit("@"), F.when(F.regexp_like(domain, F.lit(r"(?:\A|\.)example\.(?:com|net|org)\z")), domain).otherwise(F.lit("example.org")))
@@ -151,7 +150,9 @@ def _placed(surface: Column, digits: Column) -> Column:
 
 def _written(entity: Column, parts: Column, made: Column) -> Column:
     kind, head = parts[0]["kind"], F.coalesce(_prefix(entity), F.lit(""))
-    return F.when(kind.isin(*DIGIT_KINDS), _placed(entity, made[0])).when(kind.startswith("name-"), F.concat(head, F.concat_ws(" ", F.transform(made, F.initcap)))).when(kind == "secret", F.concat(head, made[0])).otherwise(made[0])
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    country = F.when(kind == "phone", F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0)))).otherwise(F.lit(""))
+    return F.when(kind.isin(*DIGIT_KINDS), _placed(entity, F.concat(country, made[0]))).when(kind.startswith("name-"), F.concat(head, F.concat_ws(" ", F.transform(made, F.initcap)))).when(kind == "secret", F.concat(head, made[0])).otherwise(made[0])
 
 
 def replace(documents: DataFrame, text: str = "text", key: str = KEY, chars: str | None = None) -> DataFrame:
