@@ -34,10 +34,10 @@ def profile_difference(profile: Column, obs: Column, bottom: Column, threshold:
 def compute_diff(model: DataFrame, binned: DataFrame, threshold: float = 0.8, on: str = "time", place: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
     """(tag_id, time, place, diff, H0, XE, ocean_mask) of each bin at each of the model's places at that time.
 
-    binned is (tag_id, time, obs); model (time, place, H0, XE, profile, dynamic_bathymetry).  The join is on time; the
-    smaller side is broadcast if its size allows.
+    binned is (tag_id, time, obs); model (time, place, H0, XE, profile, dynamic_bathymetry).  The join is on time; a
+    model without times holds for all of them.
     """
-    joined = model.join(binned, on)
+    joined = model.join(binned, on) if on in model.columns else model.crossJoin(binned)
     return joined.select("tag_id", on, *place, profile_difference(F.col("profile"), F.col("obs"), F.col("dynamic_bathymetry"), threshold).alias("diff"), "H0", "XE", F.col("H0").isNotNull().alias("ocean_mask"))
 
 

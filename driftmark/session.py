@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings every session of the engine needs: UTC times, adaptive plans, skewed joins split at run time.
@@ -22,3 +25,9 @@ def create_session(name: str = "driftmark", master: str | None = None, workers:
     for key, value in (SETTINGS | ({"spark.dynamicAllocation.maxExecutors": str(workers)} if workers else {}) | (settings or {})).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` where all executors can write: under spark.checkpoint.dir, or local where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftmark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
