@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftmark.functions.geodesy import let
+
 #: Of the twelve base faces, ring and longitude offsets of their lowest corner.
 FACE_RING = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4)
 FACE_PHI = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
@@ -18,25 +20,35 @@ FACE_PHI = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
 SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
+def _step(move, shift: int, mask: int):
+    return lambda v: v.bitwiseOR(move(v, shift)).bitwiseAND(F.lit(mask))
+
+
 def _spread(v: Column) -> Column:
     for shift, mask in SPREAD:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        v = let(v, _step(F.shiftleft, shift, mask))
     return v
 
 
 def _squeeze(v: Column) -> Column:
     v = v.bitwiseAND(F.lit(SPREAD[-1][1]))
     for (shift, _), mask in zip(reversed(SPREAD), [m for _, m in SPREAD[-2::-1]] + [0x00000000FFFFFFFF], strict=True):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask))
+        v = let(v, _step(F.shiftright, shift, mask))
     return v
 
 
 def angles_to_cell(level: int, theta: Column, phi: Column) -> Column:
     """The nested cell that holds a direction."""
+    turn = F.pmod(phi, F.lit(2 * math.pi)) / (math.pi / 2)
+    at = let(F.struct(theta.alias("theta"), F.cos(theta).alias("z"), turn.alias("tt")), lambda d: _face_place(level, d))
+    return let(at, lambda f: (f["face"] * 4**level + _spread(f["x"]) + 2 * _spread(f["y"])).cast("long"))
+
+
+def _face_place(level: int, d: Column) -> Column:
+    """(face, x, y) of a direction (theta, z = cos theta, tt = phi in right angles)."""
     n = 1 << level
-    z = F.cos(theta)
-    za, tt = F.abs(z), F.pmod(phi, F.lit(2 * math.pi)) / (math.pi / 2)
-    tt = F.when(tt >= 4, 0.0).otherwise(tt)
+    theta, z, za = d["theta"], d["z"], F.abs(d["z"])
+    tt = F.when(d["tt"] >= 4, 0.0).otherwise(d["tt"])
     # between the caps
     jp, jm = F.floor(n * (0.5 + tt) - n * z * 0.75), F.floor(n * (0.5 + tt) + n * z * 0.75)
     ip, im = F.shiftright(jp, level), F.shiftright(jm, level)
@@ -52,7 +64,7 @@ def angles_to_cell(level: int, theta: Column, phi: Column) -> Column:
     x_p, y_p = F.when(north, n - cm - 1).otherwise(cp), F.when(north, n - cp - 1).otherwise(cm)
     belt = za <= 2 / 3
     face, x, y = F.when(belt, face_e).otherwise(face_p), F.when(belt, x_e).otherwise(x_p), F.when(belt, y_e).otherwise(y_p)
-    return (face * (n * n) + _spread(x.cast("long")) + 2 * _spread(y.cast("long"))).cast("long")
+    return F.struct(face.cast("long").alias("face"), x.cast("long").alias("x"), y.cast("long").alias("y"))
 
 
 def cell_to_face(level: int, cell: Column) -> tuple[Column, Column, Column]:
@@ -65,11 +77,16 @@ def cell_to_angles(level: int, cell: Column) -> tuple[Column, Column]:
     """(theta, phi) of a nested cell's centre."""
     n = 1 << level
     face, x, y = cell_to_face(level, cell)
+    whole = let(F.struct(face.alias("face"), x.alias("x"), y.alias("y")), lambda f: _centre(n, f["face"], f["x"], f["y"]))
+    return whole["theta"], whole["phi"]
+
+
+def _centre(n: int, face: Column, x: Column, y: Column) -> Column:
     ring = F.element_at(F.array(*[F.lit(v) for v in FACE_RING]), (face + 1).cast("int")) * n - x - y - 1
     nr = F.when(ring < n, ring).when(ring > 3 * n, 4 * n - ring).otherwise(F.lit(n).cast("long"))
     z = F.when(ring < n, 1 - nr * nr / F.lit(3.0 * n * n)).when(ring > 3 * n, nr * nr / F.lit(3.0 * n * n) - 1).otherwise((2 * n - ring) * F.lit(2 / (3 * n)))
     k = F.element_at(F.array(*[F.lit(v) for v in FACE_PHI]), (face + 1).cast("int")) * nr + x - y
-    return F.acos(z), F.lit(math.pi / 4) * F.when(k < 0, k + 8 * nr).otherwise(k) / nr
+    return F.struct(F.acos(z).alias("theta"), (F.lit(math.pi / 4) * F.when(k < 0, k + 8 * nr).otherwise(k) / nr).alias("phi"))
 
 
 def place_to_cell(level: int, lat: Column, lon: Column) -> Column:
