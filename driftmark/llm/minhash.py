@@ -6,8 +6,10 @@ coordinates are the bucket keys.  Links are confirmed on full shingle sets (64-b
 
 At scale: documents with one and the same set form a class, and only the class's smallest id goes on.  In a bucket,
 members are compared with a leader rather than with each other; what a round links becomes one component, and the
-next round compares only members of different components with another leader.  What is left after ROUNDS rounds is
-compared pair by pair between different components, so no linked pair is lost, while a bucket of n copies costs n.
+next round compares only members of different components with another leader, the one with the smallest share of
+shingles that nobody else has.  Pairs that such shingles keep below the threshold are left out, which is exact.  What
+is left after ROUNDS rounds is compared pair by pair between different components, so no linked pair is lost, while a
+bucket of n copies costs n.
 
 Null or empty texts and texts without words have no shingles and link with nothing.  Rows without doc_id link with
 nothing and are kept.  Rows that repeat a doc_id are judged each by its own text.
@@ -21,12 +23,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import Workspace, components
+from driftmark.llm.textbatch import small_batches
 
 WORDS, BANDS, ROWS, ROUNDS = 5, 24, 5, 3
+#: Bins of a profile, a power of two up to 256.
+BINS = 64
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 85
 _BAND_SEED = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -102,6 +107,18 @@ def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": part["doc_id"], "hashes": [shingles(t).tobytes() for t in part["text"]]})
 
 
+def _exploded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for i in range(0, len(part), 500):
+            own = [np.frombuffer(x, dtype=np.int64) for x in part["hashes"].iloc[i : i + 500]]
+            yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].iloc[i : i + 500].to_numpy(), [len(x) for x in own]), "h": np.concatenate(own) if own else np.empty(0, np.int64)})
+
+
+def _binned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield pd.DataFrame({"rep": part["doc_id"], "bins": [np.bincount(np.frombuffer(x, dtype=np.uint8)[::8] % BINS, minlength=BINS).astype(np.int32) for x in part["hashes"]]})
+
+
 def linked(a: bytes, b: bytes, least: int) -> bool:
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
     if not len(x) or not len(y) or 100 * min(len(x), len(y)) < least * max(len(x), len(y)):
@@ -117,6 +134,7 @@ def linked(a: bytes, b: bytes, least: int) -> bool:
 def near_duplicates(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents (doc_id, text)."""
     spark = documents.sparkSession
+    small_batches(spark)
     ws = Workspace(spark, "minhash")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = ws.keep(docs.mapInPandas(_features, _FEATURES), "features")
@@ -139,18 +157,48 @@ def near_duplicates(documents: DataFrame, least: int = LEAST) -> DataFrame:
         both = left.join(hashes.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
         return ws.keep(both.select("a", "b", "ha", "hb").mapInPandas(check, "a long, b long"), name)
 
+    def profiles(members: DataFrame) -> DataFrame:
+        """(rep, own, bins): how many shingles of each member no other member has, and its shingles' counts in BINS bins."""
+        held = hashes.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        single = held.mapInPandas(_exploded, "doc_id long, h long").groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("rep")).filter("c = 1")
+        own = single.groupBy("rep").agg(F.count("*").cast("int").alias("own"))
+        bins = held.mapInPandas(_binned, "rep long, bins array<int>")
+        return ws.keep(bins.join(own, "rep", "left").na.fill(0, ["own"]), "profiles")
+
+    def can_link(most: Column, n: str, other_n: str) -> Column:
+        """Whether an intersection of at most ``most`` can link sets of these sizes."""
+        return 100 * most >= least * (F.col(n) + F.col(other_n) - most)
+
+    # bounds of an intersection, so neither drops a link: shingles that others have, and bin by bin the smaller count
+    shared_most = F.least(F.col("n_shingles") - F.col("own"), F.col("lead_n") - F.col("lead_own"))
+    binned_most = F.aggregate(F.zip_with("bins", "lead_bins", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+
     links, tried, comp = [], [], None
+    inside = inside.withColumns({"own": F.lit(0), "bins": F.array().cast("array<int>")})
     for k in range(ROUNDS + 1):
         at = inside.withColumn("comp", F.col("rep")) if comp is None else inside.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+        if k == 1:
+            at = ws.keep(at.join(mixed, "bucket"), "mixed")
+            at = ws.keep(at.drop("own", "bins").join(profiles(at), "rep"), "mixed-profiles")
+            inside = at.drop("comp")
+            mixed = at.select("bucket").distinct()
+        other = at.select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n_shingles").alias("lead_n"), F.col("own").alias("lead_own"), F.col("bins").alias("lead_bins"))
         if k < ROUNDS:
-            turn = F.xxhash64("rep", F.lit(k))
-            lead = at.groupBy("bucket").agg(F.min(F.struct(turn.alias("h"), F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n_shingles").alias("lead_n"))).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket", "l.lead", "l.lead_comp", "l.lead_n")
-            pairs = at.join(lead, "bucket").filter("comp <> lead_comp")
+            # the leader is the member with the smallest share of shingles of its own, which most others can link with
+            turn = F.struct((F.col("lead_own") / F.col("lead_n")).alias("o"), F.xxhash64("lead", F.lit(k)).alias("h"), "lead", "lead_comp", "lead_n", "lead_own", "lead_bins")
+            first = other.groupBy("bucket").agg(F.min(turn).alias("l"), F.min("lead_comp").alias("lo"), F.max("lead_comp").alias("hi")).filter("lo < hi").select("bucket", "l")
+            if k >= 2:  # the best leader outside the first one's component
+                away = other.join(first.select("bucket", F.col("l.lead_comp").alias("taken")), "bucket").filter("lead_comp <> taken")
+                first = away.groupBy("bucket").agg(F.min(turn).alias("l"))
+            other = first.select("bucket", "l.lead", "l.lead_comp", "l.lead_n", "l.lead_own", "l.lead_bins")
+            pairs = at.join(other, "bucket").filter((F.col("comp") != F.col("lead_comp")) & can_link(shared_most, "n_shingles", "lead_n") & (can_link(binned_most, "n_shingles", "lead_n") if k else F.lit(True)))
         else:
-            mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-            rest = at.join(mixed, "bucket")
-            pairs = rest.join(rest.select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n_shingles").alias("lead_n")), "bucket").filter("comp < lead_comp")
-        pairs = pairs.filter(100 * F.least("n_shingles", "lead_n") >= least * F.greatest("n_shingles", "lead_n"))
+            rest = at.join(mixed, "bucket").join(classes.select("rep", "bands"), "rep")
+            other = rest.select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n_shingles").alias("lead_n"), F.col("own").alias("lead_own"), F.col("bins").alias("lead_bins"), F.col("bands").alias("lead_bands"))
+            # cheap bounds first; a pair that shares several buckets comes up in the first of them alone
+            first = F.array_min(F.array_intersect("bands", "lead_bands")) == F.col("bucket")
+            pairs = rest.join(other, "bucket").filter((F.col("comp") < F.col("lead_comp")) & can_link(shared_most, "n_shingles", "lead_n") & can_link(binned_most, "n_shingles", "lead_n") & first)
         pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
