@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from driftmark.schema import require
 
 
+def axes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """All places of two axes, as a field over them has."""
+    return first.crossJoin(second)
+
+
 def time_slice(events: DataFrame, order: list[str], by: str = "tag_id", time: str = "time") -> DataFrame:
     """(by, start, stop): the first and second event that has a time, in the order given, not by name."""
     known = require(events, by, time).filter(F.col(time).isNotNull())

@@ -396,8 +396,13 @@ class Model:
     def fit(self, emission: DataFrame, initial: DataFrame, grid: DataFrame, bounds: tuple[float, float], **options) -> DataFrame:
         return fit(emission, initial, grid, self.predictor, bounds, **options)
 
-    def predict_proba(self, emission: DataFrame, initial: DataFrame, grid: DataFrame) -> DataFrame:
-        return smooth(emission, initial, grid, self.predictor, self._sigma())
+    def predict_proba(self, emission: DataFrame, initial: DataFrame, grid: DataFrame, folder: str | None = None) -> DataFrame:
+        """Smoothed states; with a folder they are written there and read back, so later steps don't smooth again."""
+        states = smooth(emission, initial, grid, self.predictor, self._sigma())
+        if folder is None:
+            return states
+        states.write.mode("overwrite").parquet(folder)
+        return emission.sparkSession.read.parquet(folder)
 
     def decode(self, emission: DataFrame, initial: DataFrame, grid: DataFrame, states: DataFrame | None = None, mode: str = "viterbi") -> DataFrame:
         """(tag_id, time, latitude, longitude, speed, distance) by mode: mean, mode, viterbi or viterbi2."""

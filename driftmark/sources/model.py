@@ -10,7 +10,7 @@ import warnings
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmark.operators.align import prune_depth, select_box, within
@@ -67,6 +67,38 @@ def surface_level(fields: DataFrame) -> DataFrame:
     return fields.crossJoin(F.broadcast(low)).withColumn("depth", F.when(F.col("depth") == F.col("low"), 0.0).otherwise(F.col("depth"))).drop("low")
 
 
+def depth_from_elevation(fields: DataFrame) -> DataFrame:
+    """Fields whose levels are elevations below zero, with ``depth`` as their absolute value."""
+    return fields.withColumn("depth", F.abs("elevation")).drop("elevation")
+
+
+def interpolate_times(fields: DataFrame, step_seconds: int, values: tuple[str, ...] = ("TEMP",), place: tuple[str, ...] = ("lat", "lon", "depth")) -> DataFrame:
+    """(place, time, values) every step_seconds between a place's first and last time, by parabolas through three times.
+
+    The parabola of a stretch goes through its ends and the time before it, or after it for the first stretch; with two
+    times only it is a line.  A missing value in any of the three makes the stretch's inner values missing.
+    """
+    t = F.unix_seconds("time")
+    known = fields.select(*place, t.alias("t1"), *[F.col(v).alias(f"{v}1") for v in values])
+    w = Window.partitionBy(*place).orderBy("t1")
+    cols = {}
+    for c in ("t", *values):
+        cols |= {f"{c}0": F.lag(f"{c}1").over(w), f"{c}2": F.lead(f"{c}1").over(w), f"{c}3": F.lead(f"{c}1", 2).over(w)}
+    wide = known.withColumns(cols)
+    stops = F.when(F.col("t2").isNull(), F.array("t1")).otherwise(F.filter(F.sequence("t1", "t2", F.lit(step_seconds)), lambda x: x < F.col("t2")))
+    each = wide.withColumn("t", F.explode(stops))
+
+    def at(v: str) -> Column:
+        third_t, third = F.coalesce("t0", "t3"), F.when(F.col("t0").isNotNull(), F.col(f"{v}0")).otherwise(F.col(f"{v}3"))
+        x, a, b, c = F.col("t"), F.col("t1"), F.col("t2"), third_t
+        line = F.col(f"{v}1") + (F.col(f"{v}2") - F.col(f"{v}1")) * (x - a) / (b - a)
+        slope_ab, slope_bc = (F.col(f"{v}2") - F.col(f"{v}1")) / (b - a), (third - F.col(f"{v}2")) / (c - b)
+        bend = (slope_bc - slope_ab) / (c - a) * (x - a) * (x - b)
+        return F.when(x == a, F.col(f"{v}1")).when(c.isNull(), line).otherwise(line + bend).alias(v)
+
+    return each.select(*place, F.timestamp_seconds("t").alias("time"), *[at(v) for v in values])
+
+
 def load_model(spark: SparkSession, uri: str, times: tuple[datetime, datetime] | None = None, box: dict[str, tuple[float, float]] | None = None, max_depth: float | Column | None = None, surface_at_zero: bool = False) -> DataFrame:
     """Profiles from a URI: a registered scheme, a ``.parquet`` or other folder of Parquet, or ``table:name``.
 

@@ -116,3 +116,14 @@ def test_workflow(spark, root, tmp_path):
     got = workflow.decode(spark, out)
     assert {r.traj_id for r in got.select("traj_id").distinct().collect()} == {"A1-mean", "A1-mode"}
     assert got.filter("latitude between 45 and 51 and longitude between -9 and -1").count() == got.count() > 0
+
+
+def test_times_are_interpolated_by_parabolas(spark):
+    t0 = datetime(2022, 7, 1)
+    df = spark.createDataFrame([(1.0, 2.0, 0.0, t0 + timedelta(hours=3 * k), float((3 * k) ** 2 - 3 * k)) for k in range(4)], "lat double, lon double, depth double, time timestamp, TEMP double")
+    got = {(r.time - t0).seconds // 3600: r.TEMP for r in model.interpolate_times(df, 3600).collect()}
+    assert got == {h: pytest.approx(h * h - h) for h in range(10)}
+    two = model.interpolate_times(df.filter(F.col("TEMP") <= 6), 3600)
+    assert {(r.time - t0).seconds // 3600: r.TEMP for r in two.collect()} == {0: 0.0, 1: pytest.approx(2.0), 2: pytest.approx(4.0), 3: 6.0}
+    e = spark.createDataFrame([(-5.0,)], "elevation double")
+    assert model.depth_from_elevation(e).first().depth == 5.0
