@@ -130,5 +130,16 @@ FROM w LEFT JOIN b USING (doc_id) LEFT JOIN g USING (doc_id)
 OP6_SQL = _op6_sql()
 
 
+OP7_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.vec_id WHERE r.c < p.b)
+SELECT e.vec_id, coalesce(l.n, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id) m USING (vec_id) LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_license_scans": OP6_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_license_scans": OP6_SQL, "op7_embedding_near_dedup": OP7_SQL}
