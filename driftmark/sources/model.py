@@ -18,13 +18,36 @@ from driftmark.schema import null_nan, require
 
 #: Names in published products and the engine's.
 NAMES = {"thetao": "TEMP", "zos": "XE", "deptho": "H0", "latitude": "lat", "longitude": "lon"}
-#: Published ocean products by area, kind and frequency, as the marine service names them.
-PRODUCTS = {
-    ("global", "physics", "day"): "cmems_mod_glo_phy_anfc_0.083deg_P1D-m",
-    ("global", "physics", "hour"): "cmems_mod_glo_phy_anfc_0.083deg_PT1H-m",
-    ("northwest-shelf", "physics", "hour"): "cmems_mod_nws_phy_anfc_0.027deg-3D_PT1H-m",
-    ("northwest-shelf", "physics", "day"): "cmems_mod_nws_phy_anfc_0.027deg-3D_P1D-m",
-}
+#: Published datasets of ocean products as (product, variable, frequency, dataset); deptho is static.
+PRODUCTS = (
+    ("GLOBAL_ANALYSISFORECAST_PHY_001_024", "thetao", "H", "cmems_mod_glo_phy-thetao_anfc_0.083deg_PT6H-i_202406"),
+    ("GLOBAL_ANALYSISFORECAST_PHY_001_024", "thetao", "D", "cmems_mod_glo_phy-thetao_anfc_0.083deg_P1D-m_202406"),
+    ("GLOBAL_ANALYSISFORECAST_PHY_001_024", "zos", "H", "cmems_mod_glo_phy_anfc_0.083deg_PT1H-m_202406"),
+    ("GLOBAL_ANALYSISFORECAST_PHY_001_024", "zos", "D", "cmems_mod_glo_phy_anfc_0.083deg_P1D-m_202406"),
+    ("GLOBAL_ANALYSISFORECAST_PHY_001_024", "deptho", None, "cmems_mod_glo_phy_anfc_0.083deg_static_202211--ext--bathy"),
+    ("GLOBAL_MULTIYEAR_PHY_001_030", "thetao", "NEW", "cmems_mod_glo_phy_myint_0.083deg_P1D-m_202311"),
+    ("GLOBAL_MULTIYEAR_PHY_001_030", "thetao", "OLD", "cmems_mod_glo_phy_my_0.083deg_P1D-m_202311"),
+    ("GLOBAL_MULTIYEAR_PHY_001_030", "zos", "NEW", "cmems_mod_glo_phy_myint_0.083deg_P1D-m_202311"),
+    ("GLOBAL_MULTIYEAR_PHY_001_030", "zos", "OLD", "cmems_mod_glo_phy_anfc_0.083deg_P1D-m_202406"),
+    ("GLOBAL_MULTIYEAR_PHY_001_030", "deptho", None, "cmems_mod_glo_phy_anfc_0.083deg_static_202211--ext--bathy"),
+    ("IBI_MULTIYEAR_PHY_005_002", "thetao", "H", "cmems_mod_ibi_phy_anfc_0.027deg-3D_PT1H-m_202211"),
+    ("IBI_MULTIYEAR_PHY_005_002", "thetao", "D", "cmems_mod_ibi_phy_anfc_0.027deg-3D_P1D-m_202211"),
+    ("IBI_MULTIYEAR_PHY_005_002", "zos", "H", "cmems_mod_ibi_phy_anfc_0.027deg-2D_PT1H-m_202211"),
+    ("IBI_MULTIYEAR_PHY_005_002", "zos", "D", "cmems_mod_ibi_phy_anfc_0.027deg-3D_P1D-m_202211"),
+    ("IBI_MULTIYEAR_PHY_005_002", "deptho", None, "cmems_mod_ibi_phy_anfc_0.027deg-3D_static_202211--ext--bathy"),
+    ("IBI_ANALYSISFORECAST_PHY_005_001", "thetao", "D", "cmems_mod_ibi_phy_my_0.083deg-3D_P1D-m_202012"),
+    ("IBI_ANALYSISFORECAST_PHY_005_001", "zos", "H", "cmems_mod_ibi_phy_my_0.083deg-2D_PT1H-m_202012"),
+    ("IBI_ANALYSISFORECAST_PHY_005_001", "zos", "D", "cmems_mod_ibi_phy_my_0.083deg-3D_P1D-m_202012"),
+    ("IBI_ANALYSISFORECAST_PHY_005_001", "deptho", None, "cmems_mod_ibi_phy_my_0.083deg-3D_static_202012--ext--bathy"),
+    ("NWSHELF_ANALYSISFORECAST_PHY_004_013", "thetao", "H", "cmems_mod_nws_phy_anfc_0.027deg-3D_PT1H-m_202309"),
+    ("NWSHELF_ANALYSISFORECAST_PHY_004_013", "thetao", "D", "cmems_mod_nws_phy_anfc_0.027deg-3D_P1D-m_202309"),
+    ("NWSHELF_ANALYSISFORECAST_PHY_004_013", "zos", "H", "cmems_mod_nws_phy_anfc_0.027deg-2D_PT1H-m_202309"),
+    ("NWSHELF_ANALYSISFORECAST_PHY_004_013", "zos", "D", "cmems_mod_nws_phy_anfc_0.027deg-3D_P1D-m_202309"),
+    ("NWSHELF_ANALYSISFORECAST_PHY_004_013", "deptho", None, "cmems_mod_nws_phy_anfc_0.027deg-3D_static_202309--ext--bathy"),
+    ("NWSHELF_MULTIYEAR_PHY_004_009", "thetao", "D", "cmems_mod_nws_phy-t_my_7km-3D_P1D-m_202012"),
+    ("NWSHELF_MULTIYEAR_PHY_004_009", "zos", "D", "cmems_mod_nws_phy-ssh_my_7km-2D_P1D-m_202012"),
+    ("NWSHELF_MULTIYEAR_PHY_004_009", "deptho", None, "cmems_mod_nws_phy-bottomt_my_7km-2D_P1D-m_202012"),
+)
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -33,6 +56,14 @@ def register(scheme: str, reader: Callable[..., DataFrame]) -> None:
     READERS[scheme] = reader
 
 
+def dataset(product: str, variable: str, frequency: str | None = "D") -> str:
+    """The published dataset that holds a product's variable at a frequency."""
+    for p, v, f, name in PRODUCTS:
+        if (p, v) == (product, variable) and f in (None, frequency):
+            return name
+    raise ValueError(f"no dataset of {product} has {variable} at {frequency}")
+
+
 def static_product(name: str) -> str:
     """The name of a product's static fields."""
     return f"{name.rsplit('_', 1)[0]}_static"

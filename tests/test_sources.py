@@ -100,6 +100,10 @@ def test_model_source(spark, tmp_path):
         warnings.simplefilter("always")
         model.load_model(spark, "mem:x", box={"lat": (0, 90)})
     assert any("does not cover" in str(w.message) for w in caught)
+    assert model.dataset("GLOBAL_ANALYSISFORECAST_PHY_001_024", "thetao") == "cmems_mod_glo_phy-thetao_anfc_0.083deg_P1D-m_202406"
+    assert model.dataset("IBI_MULTIYEAR_PHY_005_002", "deptho").endswith("static_202211--ext--bathy")
+    with pytest.raises(ValueError):
+        model.dataset("NWSHELF_MULTIYEAR_PHY_004_009", "zos", "H")
     assert model.static_product("cmems_mod_glo_phy_anfc_0.083deg_P1D-m") == "cmems_mod_glo_phy_anfc_0.083deg_static"
 
 
