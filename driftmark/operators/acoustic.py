@@ -29,12 +29,17 @@ def count_detections(detections: DataFrame, bins: DataFrame, step: timedelta, or
 
     bins is (tag_id, time), time being the start of a regular bin.  Partial counts are combined before the shuffle.
     """
-    keyed = detections.select("tag_id", "deployment_id", bin_start(F.col("time"), step, origin, closed).alias("time"))
-    counted = keyed.groupBy("tag_id", "deployment_id", "time").agg(F.count("*").alias("count"))
+    counted = _counted(detections, step, origin, closed)
     dense = detections.select("tag_id", "deployment_id").distinct().join(bins.select("tag_id", "time"), "tag_id")
     return dense.join(counted, ["tag_id", "deployment_id", "time"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
 
 
+def _counted(detections: DataFrame, step: timedelta, origin: datetime, closed: str = "right") -> DataFrame:
+    """(tag_id, deployment_id, time, count) where something was heard."""
+    keyed = detections.select("tag_id", "deployment_id", bin_start(F.col("time"), step, origin, closed).alias("time"))
+    return keyed.groupBy("tag_id", "deployment_id", "time").agg(F.count("*").alias("count"))
+
+
 def reception_masks(stations: DataFrame, grid: DataFrame, buffer_size: float | str, cell: float = 1.0) -> DataFrame:
     """(deployment_id, cell_id): cells whose centre is within the buffer of a station.
 
@@ -58,18 +63,20 @@ def active_receivers(stations: DataFrame, bins: DataFrame) -> DataFrame:
     return bins.join(deployed, (F.col("bin_start") >= F.col("deploy_time")) & (F.col("bin_end") <= F.col("recover_time"))).select("deployment_id", "tag_id", "time")
 
 
-def fill_map(stations: DataFrame, grid: DataFrame, masks: DataFrame, bins: DataFrame, nondetections: str = "mask") -> DataFrame:
-    """(tag_id, time, cell_id, fill): the density of a bin in which nothing was heard, normalised over the grid.
+def fill_map(stations: DataFrame, grid: DataFrame, masks: DataFrame, bins: DataFrame, nondetections: str = "mask", normalised: bool = True) -> DataFrame:
+    """(tag_id, time, cell_id, fill): the density of a bin in which nothing was heard, normalised over the grid unless told otherwise.
 
     ``ignore``: uniform.  ``mask``: uniform over the cells that no active receiver covers, missing elsewhere.
     """
     every = bins.select("tag_id", "time").crossJoin(grid.select("cell_id"))
     if nondetections == "ignore":
-        return normalise(every.withColumn("fill", F.lit(1.0)), "fill", ["tag_id", "time"])
+        flat = every.withColumn("fill", F.lit(1.0))
+        return normalise(flat, "fill", ["tag_id", "time"]) if normalised else flat
     if nondetections != "mask":
         raise ValueError("invalid nondetections treatment, choose 'ignore' or 'mask'")
     covered = active_receivers(stations, bins).join(masks, "deployment_id").select("tag_id", "time", "cell_id").distinct().withColumn("covered", F.lit(True))
-    return normalise(every.join(covered, ["tag_id", "time", "cell_id"], "left").withColumn("fill", F.when(F.col("covered").isNull(), 1.0)).drop("covered"), "fill", ["tag_id", "time"])
+    free = every.join(covered, ["tag_id", "time", "cell_id"], "left").withColumn("fill", F.when(F.col("covered").isNull(), 1.0)).drop("covered")
+    return normalise(free, "fill", ["tag_id", "time"]) if normalised else free
 
 
 def acoustic_pdf(detections: DataFrame, stations: DataFrame, grid: DataFrame, bins: DataFrame, step: timedelta, origin: datetime, buffer_size: float | str = 1000.0, nondetections: str = "mask") -> DataFrame:
@@ -80,11 +87,11 @@ def acoustic_pdf(detections: DataFrame, stations: DataFrame, grid: DataFrame, bi
     the table has no rows.
     """
     masks = reception_masks(stations, grid, buffer_size)
-    counts = count_detections(detections, bins, step, origin).filter("count > 0")
+    counts = _counted(detections, step, origin).join(bins.select("tag_id", "time"), ["tag_id", "time"], "left_semi")
     heard = counts.join(masks, "deployment_id").groupBy("tag_id", "time", "cell_id").agg(F.sum("count").cast("double").alias("raw"))
     times = counts.groupBy("tag_id", "time").agg(F.lit(True).alias("heard"))
-    tags = counts.select("tag_id").distinct()
-    fill = fill_map(stations, grid, masks, bins.join(tags, "tag_id", "left_semi"), nondetections)
+    tags = detections.select("tag_id").distinct()
+    fill = fill_map(stations, grid, masks, bins.join(tags, "tag_id", "left_semi"), nondetections, normalised=False)
     full = fill.join(times, ["tag_id", "time"], "left").join(heard, ["tag_id", "time", "cell_id"], "left")
     chosen = full.withColumn("acoustic", F.when(F.col("heard"), F.coalesce("raw", F.lit(0.0))).otherwise(F.col("fill")))
     normal = normalise(chosen.select("tag_id", "time", "cell_id", "acoustic"), "acoustic", ["tag_id", "time"])
