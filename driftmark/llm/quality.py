@@ -73,16 +73,34 @@ def _inputs(g: int, b: int, n: int) -> tuple[float, float, float, float]:
     return (1.0, 10 * (g - b) / (g + b), ratio, min(0.0, ratio + 1.5) ** 2)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 200) -> np.ndarray:
+    """Weights of the least penalised logistic loss.
+
+    Newton's full step can overshoot and run away where classes nearly part, so a step is halved until the loss, which
+    is convex, falls enough; inputs are brought to one scale first.
+    """
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-12)
+    u, w = x / scale, np.zeros(x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        z = u @ v
+        return float(np.logaddexp(0.0, z).sum() - y @ z + ridge / 2 * v @ v)
+
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(u @ w, -500, 500)))
+        slope = u.T @ (p - y) + ridge * w
+        step = np.linalg.solve((u * (p * (1 - p))[:, None]).T @ u + ridge * np.eye(len(w)), -slope)
+        rate = 1.0
+        while rate > 1e-10 and not loss(w + rate * step) <= now + 1e-4 * rate * float(slope @ step):
+            rate /= 2
+        if rate <= 1e-10:
+            break
+        w = w + rate * step
+        before, now = now, loss(w)
+        if before - now < 1e-10 * (1 + abs(now)):
             break
-    return w
+    return w / scale
 
 
 def _dictionary(texts: list[bytes]) -> bytes:

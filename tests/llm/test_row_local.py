@@ -186,6 +186,26 @@ def test_quality_learns_and_holds_out(spark):
     assert {r.predicted for r in quality.classify(docs.limit(3), quality.fit(drawn.filter("label = 1"))).collect()} == {1}
 
 
+def test_calibration_converges_where_full_newton_steps_run_away():
+    rng = np.random.default_rng(12)
+    for trial in range(40):
+        n = 400
+        y = (rng.random(n) < rng.uniform(0.1, 0.9)).astype(float)
+        d = np.where(y == 1, rng.normal(-0.8, 0.5, n), rng.normal(1.3, 1.0, n))
+        r = np.where(y == 1, rng.normal(-1.0, 0.3, n), rng.normal(-2.2, 1.0, n))
+        far = rng.random(n) < 0.02  # a few rows far out, some on the wrong side
+        d[far], r[far] = rng.uniform(-9, 7, far.sum()), rng.uniform(-4.4, 0.4, far.sum())
+        x = np.stack([np.ones(n), d, r, np.minimum(0, r + 1.5) ** 2], axis=1)
+        w = quality._logistic(x, y)
+        z = x @ w
+        p = 1 / (1 + np.exp(-z))
+        loss = np.logaddexp(0, z).sum() - y @ z
+        assert np.isfinite(w).all() and loss < 0.69 * n, trial
+        scale = np.abs(x).max(axis=0)
+        assert np.abs((x / scale).T @ (p - y) + 1e-2 * w * scale).max() < 1e-2  # the slope of the penalised loss is nil
+        assert (p[y == 1] >= 0.3).mean() > 0.9
+
+
 ITEMS = ["What is the deepest point of the northern garden pool? It lies near the old iron gate, under three metres of water.", "Seven travellers crossed the frozen plain before dawn. None of them carried a lamp. The youngest led the way home.", "short item"]
 
 
