@@ -36,6 +36,8 @@ from driftmark.llm.common import Workspace
 from driftmark.llm.textbatch import Memo, pieces, small_batches
 
 MAGIC, BLOCK = b"PKIDS001", 1 << 16
+#: Words in each generation of a worker's memo, some 200 bytes each.
+WORDS_KNOWN = 400_000
 #: Characters whose words are looked up at once.
 WORD_PIECE = 1_000_000
 #: Ids a reader unpacks at once.
@@ -143,7 +145,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_str(spec), Memo(self._learn)
+        self.tokenizer, self.memo = Tokenizer.from_str(spec), Memo(self._learn, WORDS_KNOWN)
         vocabulary, model = self.tokenizer.get_vocab(with_added_tokens=True), json.loads(spec)
         self.size = max(vocabulary.values()) + 1
         mark = model["model"].get("end_of_word_suffix")

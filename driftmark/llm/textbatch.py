@@ -22,13 +22,13 @@ def small_batches(spark: SparkSession) -> None:
 class Memo:
     """Results by piece of text, of bounded size: what was not asked for during a whole generation is forgotten."""
 
-    def __init__(self, learn: Callable[[list[str]], dict[str, bytes]]):
-        self.learn, self.young, self.old = learn, {}, {}
+    def __init__(self, learn: Callable[[list[str]], dict[str, bytes]], size: int = REMEMBERED):
+        self.learn, self.size, self.young, self.old = learn, size, {}, {}
 
     def known(self, seen: set[str]) -> dict[str, bytes]:
         """A mapping that has every piece of ``seen``."""
         new = seen - self.young.keys()
-        if len(self.young) + len(new) > REMEMBERED:
+        if len(self.young) + len(new) > self.size:
             self.old, self.young, new = self.young, {}, seen
         again = new & self.old.keys()
         self.young.update({p: self.old[p] for p in again})
