@@ -2,7 +2,8 @@
 
 Each of TABLES tables projects unit vectors at random to BLOCKS blocks of eight numbers and decodes every block to the
 nearest point of the E8 lattice; the points are the cell.  A vector is stored in its own cell and probes the PROBES
-neighbouring cells that it is nearest to.  Every pair found is verified by its cosine in double precision.
+neighbouring cells that it is nearest to.  Every pair found is verified: first against an upper bound of its cosine
+from codes of a byte a component, then by its cosine in double precision.
 
 At scale: equal vectors form a class of which one goes on.  In a cell, members are first compared with the cell's
 leader alone; those within half the linking angle of one leader are a cluster, whose members link with each other for
@@ -15,7 +16,7 @@ lengths link with nothing of another length.  Rows that repeat a vec_id are one
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -133,7 +134,7 @@ def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if dim not in drawn:
                 drawn[dim] = tables(dim)
             own, near = cells(np.frombuffer(b"".join(same["unit"]), dtype=np.float64).reshape(-1, dim), drawn[dim])
-            yield pd.DataFrame({"rep": same["rep"].to_numpy(), "own": list(own), "near": list(near.reshape(len(own), -1))})
+            yield pd.DataFrame({"rep": same["rep"].to_numpy(), "own": list(own), "near": list(near.reshape(len(own), -1)), "code": [code(np.frombuffer(u, dtype=np.float64)) for u in same["unit"]]})
 
 
 def cosine(a: bytes, b: bytes) -> float:
@@ -141,6 +142,22 @@ def cosine(a: bytes, b: bytes) -> float:
     return float(x @ y) if len(x) == len(y) else -1.0
 
 
+def code(unit: np.ndarray) -> bytes:
+    """A unit vector in a byte a component: scale and error norm as floats, then the components over the scale."""
+    scale = float(np.abs(unit).max()) / 127
+    q = np.rint(unit / scale).astype(np.int8)
+    return np.array([scale, np.sqrt(((unit - scale * q) ** 2).sum()) + 1e-9], dtype=np.float64).tobytes() + q.tobytes()
+
+
+def most(a: bytes, b: bytes) -> float:
+    """The greatest cosine that two codes allow: their product, and what either error can add to it."""
+    if len(a) != len(b):
+        return -1.0
+    (sa, ea), (sb, eb) = np.frombuffer(a, dtype=np.float64, count=2), np.frombuffer(b, dtype=np.float64, count=2)
+    x, y = np.frombuffer(a, dtype=np.int8, offset=16).astype(np.int32), np.frombuffer(b, dtype=np.int8, offset=16).astype(np.int32)
+    return float(sa * sb * int(x @ y) + ea + eb + ea * eb)
+
+
 def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of embeddings (vec_id, embedding)."""
     spark = embeddings.sparkSession
@@ -150,19 +167,23 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     rows = ws.keep(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(_units, "vec_id long, unit binary"), "units")
     valid = rows.filter("unit is not null and vec_id is not null")
     classes = ws.keep(valid.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "classes")
-    units = classes.select("rep", "unit")
-    hashed = ws.keep(classes.select("rep", "unit").mapInPandas(_cells, "rep long, own array<long>, near array<long>"), "cells")
+    hashed = ws.keep(classes.select("rep", "unit").mapInPandas(_cells, "rep long, own array<long>, near array<long>, code binary"), "cells")
     own = hashed.select("rep", F.explode("own").alias("cell"))
     probes = hashed.select("rep", F.explode("near").alias("cell"))
 
-    def verified(pairs: DataFrame, bound: float, name: str) -> DataFrame:
+    def checked(pairs: DataFrame, vectors: DataFrame, value: Callable[[bytes, bytes], float], bound: float) -> DataFrame:
         def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                hit = np.fromiter((cosine(x, y) >= bound for x, y in zip(part["ua"], part["ub"], strict=True)), bool, len(part))
+                hit = np.fromiter((value(x, y) >= bound for x, y in zip(part["va"], part["vb"], strict=True)), bool, len(part))
                 yield part.loc[hit, ["a", "b"]]
 
-        both = pairs.join(units.select(F.col("rep").alias("a"), F.col("unit").alias("ua")), "a").join(units.select(F.col("rep").alias("b"), F.col("unit").alias("ub")), "b")
-        return ws.keep(both.select("a", "b", "ua", "ub").mapInPandas(check, "a long, b long"), name)
+        both = pairs.join(vectors.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
+        return both.select("a", "b", "va", "vb").mapInPandas(check, "a long, b long")
+
+    def verified(pairs: DataFrame, bound: float, name: str) -> DataFrame:
+        """Pairs whose cosine reaches the bound; codes, an eighth as long, drop first what can't."""
+        left = checked(pairs, hashed.select("rep", F.col("code").alias("v")), most, bound)
+        return ws.keep(checked(left, classes.select("rep", F.col("unit").alias("v")), cosine, bound), name)
 
     lead = own.groupBy("cell").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).filter("c > 1").select("cell", "lead")
     close = verified(own.join(lead, "cell").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), half, "close")
