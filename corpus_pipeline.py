@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import bpe, decontaminate, minhash, pii, quality
-from driftmark.llm.common import Workspace
+from driftmark.llm.common import Workspace, sized
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ws = Workspace(spark, "near-duplicates")
+    gone = ws.keep(minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

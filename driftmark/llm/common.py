@@ -38,6 +38,18 @@ def remove(spark: SparkSession, where: str) -> None:
     fs.delete(path, True)
 
 
+#: Ids that are broadcast at most: some 60 MB as a hash table.  More of them are joined by a shuffle.
+FEW_IDS = 2_000_000
+
+
+def sized(ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """A written table of one id column, to be broadcast if it has no more than FEW_IDS rows; else left to a shuffle.
+
+    Either way a join with it gives the same rows; a broadcast spares the other side, whole texts, its shuffle.
+    """
+    return F.broadcast(ids) if ids.count() <= (FEW_IDS if limit is None else limit) else ids
+
+
 class Workspace:
     """Intermediate tables of one operator call, as Parquet under the shared folder.
 

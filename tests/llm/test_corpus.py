@@ -144,6 +144,17 @@ def test_lattice_points_are_nearest():
     assert len(lattice.ROOTS) == 240 and np.allclose((lattice.ROOTS**2).sum(axis=1), 2)
 
 
+def test_codes_never_underrate():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = rng.standard_normal(24), rng.standard_normal(24)
+        b = a + b * rng.uniform(0, 2)
+        a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+        top = lattice.most(lattice.code(a), lattice.code(b))
+        assert a @ b <= top <= a @ b + 0.1
+    assert lattice.most(lattice.code(np.ones(3) / 3**0.5), lattice.code(np.ones(2) / 2**0.5)) == -1
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((120, 32))
@@ -212,7 +223,9 @@ def test_replace_keeps_columns(spark):
     assert got.schema == df.schema and all(r.n_chars == (len(r.text) if r.text else None) for r in got.collect())
 
 
-def test_pipeline_stages(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 2_000_000])  # dropped ids by a shuffle, and by a broadcast
+def test_pipeline_stages(spark, tmp_path, few, monkeypatch):
+    monkeypatch.setattr("driftmark.llm.common.FEW_IDS", few)
     import corpus_pipeline
 
     rng = random.Random(21)
