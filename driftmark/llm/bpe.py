@@ -26,6 +26,8 @@ from driftmark.llm.textbatch import Memo, pieces, small_batches
 NONE = np.int64(1) << 40
 #: Bytes up to which a piece goes through the row-wise trees, and how many pieces at once.
 SHORT, ROWS = 64, 10_000
+#: Pieces in each generation of a worker's memo, some 200 bytes each.
+PIECES_KNOWN = 100_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -49,7 +51,7 @@ class Encoder:
                     self.pairs[a << 20 | b] = i
         self.keys = np.array(sorted(self.pairs), dtype=np.int64)
         self.values = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.memo = Memo(self._learn)
+        self.memo = Memo(self._learn, PIECES_KNOWN)
 
     # one tree
 
@@ -175,7 +177,12 @@ class Encoder:
         return [b"".join(map(get, s)) for s in split]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+        return decode(self.bytes_of, packed)
+
+
+def decode(bytes_of: dict[int, bytes], packed: bytes) -> bytes:
+    """The bytes of packed ids; it needs none of an encoder's tables but this one."""
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
 def encoder(raw: bytes, pattern: str) -> Encoder:
@@ -205,12 +212,12 @@ def decode_column(spark: SparkSession, path: str, pattern: str, ids: str = "ids"
     """The bytes that packed ids stand for; null ids give null."""
     small_batches(spark)
     with open(path, "rb") as f:
-        sent = spark.sparkContext.broadcast((f.read(), pattern))
+        sent = spark.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("binary")
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(*sent.value)
+    def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bytes_of = {i: t for t, i in parse_ranks(sent.value).items()}
         for part in parts:
-            yield pd.Series([None if x is None else own.decode(x) for x in part], dtype=object)
+            yield pd.Series([None if x is None else decode(bytes_of, x) for x in part], dtype=object)
 
-    return decode(F.col(ids))
+    return decoded(F.col(ids))
