@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from driftmark.llm import bpe, decontaminate, minhash, pii, quality
 from driftmark.llm.common import Workspace, sized
 
+#: Near duplicates of the pipeline have 100 * intersection >= LEAST * union; op2 has its own contract.
+LEAST = 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores at its threshold or above."""
@@ -25,7 +28,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     ws = Workspace(spark, "near-duplicates")
-    gone = ws.keep(minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    gone = ws.keep(minhash.near_duplicates(docs, least=LEAST).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
 
 

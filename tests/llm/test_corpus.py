@@ -254,3 +254,17 @@ def test_pipeline_stages(spark, tmp_path, few, monkeypatch):
     whole = {r.doc_id: r for r in corpus_pipeline.run(spark, at).collect()}
     assert set(whole) == {r.doc_id for r in d.collect()} and all(r.whole for r in whole.values())
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_drops_near_duplicates_from_80_on(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    base = [text(rng, 150) for _ in range(12)]
+    docs = [*base, *[edited(rng, b, k % 8 + 1) for b in base for k in range(8)]]
+    sets = [shingle_set(t) for t in docs]
+    alike = {(a, b): 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(docs)) for b in range(a + 1, len(docs))}
+    want = {k for k, c in enumerate(union_find(len(docs), [p for p, j in alike.items() if j >= 80])) if k == c}
+    assert want < {k for k, c in enumerate(union_find(len(docs), [p for p, j in alike.items() if j >= 85])) if k == c}
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, d, str(tmp_path)).collect()} == want
