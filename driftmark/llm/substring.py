@@ -1,7 +1,7 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are word k-mers picked by winnowing: of every WINDOW k-mers in a row the one with the least hash, so two texts
-that share KMER + WINDOW - 1 words in a row share a seed.  Each seed is joined with its leader, its first place in the
+Seeds are all word k-mers.  Of MIN_WORDS words with every fifth substituted some KMER in a row are left, so a copy at
+IDENTITY by substitutions shares seeds; one that mixes insertions and deletions as densely may not.  Each seed is joined with its leader, its first place in the
 document with the smallest id, rather than with all its places: a passage that n documents hold costs n matches.
 
 A document's matches with one leader are chained in order, a Fenwick tree giving for each match the best chain that
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +28,15 @@ from driftmark.llm.common import Workspace
 from driftmark.llm.minhash import mix64
 from driftmark.llm.textbatch import small_batches
 
-KMER, WINDOW, MIN_WORDS, IDENTITY = 8, 16, 50, 0.8
+KMER, MIN_WORDS, IDENTITY = 4, 50, 0.8
 #: Copies shorter than this are no part of a passage.
 MIN_COPY = 20
 #: Words skipped in either text cost GAP_COST each; a chain is cut where more than MAX_GAP are skipped.
 GAP_COST, MAX_GAP = 0.1, 40
 #: Words beyond a chain's ends that an extension may look at; copies this near are merged.
-REACH, TOUCH = KMER + WINDOW, 2
+REACH, TOUCH = 24, 2
+#: A gap of more words than this must align by half.
+LOOSE = 8
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -44,17 +45,14 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the picked k-mers; of a run of equal seeds only the first."""
+    """Hashes and places of all k-mers."""
     n = len(words) - KMER + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int32)
     h = np.full(n, KMER, dtype=np.uint64)
     for k in range(KMER):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[k : n + k])
-    width = min(WINDOW, n)
-    at = np.unique(np.arange(n - width + 1) + sliding_window_view(h, width).argmin(axis=1))
-    at = at[np.concatenate([[True], h[at[1:]] != h[at[:-1]]])]
-    return h[at].view(np.int64), at.astype(np.int32)
+    return h.view(np.int64), np.arange(n, dtype=np.int32)
 
 
 def _seeds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +156,7 @@ def align(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int]) -> list[tupl
         held = int((gap_x == gap_y).sum()) if len(gap_x) == len(gap_y) else 0
         if 2 * held < max(len(gap_x), len(gap_y)):
             held = max(held, _common(gap_x, gap_y))
-        if max(len(gap_x), len(gap_y)) > KMER and 2 * held < max(len(gap_x), len(gap_y)):
+        if max(len(gap_x), len(gap_y)) > LOOSE and 2 * held < max(len(gap_x), len(gap_y)):
             on, agree = _extend(gap_x, gap_y)
             pieces.append((start, end + on, other, last + on, same + agree))
             back, agree = _extend(gap_x[on:][::-1], gap_y[on:][::-1])

@@ -121,6 +121,24 @@ def test_passages(spark):
     assert substring.passages(df.limit(0)).count() == 0
 
 
+def test_fuzzy_passages_at_every_identity(spark):
+    rng = random.Random(41)
+    texts, want = [], []
+    for every in (5, 6, 8, 10):
+        for _ in range(10):
+            shared = text(rng, 60).split()
+            other = ["qqq" + text(rng, 1) if k % every == every - 1 else w for k, w in enumerate(shared)]
+            share = sum(a == b for a, b in zip(shared, other, strict=True)) / 60
+            assert 0.8 <= share <= 0.9
+            for w in (shared, other):
+                texts.append(" ".join([text(rng, 30), *w, text(rng, 30)]))
+                want.append(len(texts) - 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in substring.passages(df.repartition(5)).collect()}
+    assert sorted(got) == want
+    assert all(r.match_doc_id == k ^ 1 and r.start_word <= 32 and r.end_word >= 88 and r.identity >= 0.8 for k, r in got.items())
+
+
 def test_chain_scores_are_those_of_all_chains():
     rng = random.Random(17)
     for _ in range(60):
