@@ -1,7 +1,8 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
 Seeds are all word k-mers.  Of MIN_WORDS words with every fifth substituted some KMER in a row are left, so a copy at
-IDENTITY by substitutions shares seeds; one that mixes insertions and deletions as densely may not.  Each seed is joined with its leader, its first place in the
+IDENTITY by substitutions shares seeds; one that mixes insertions and deletions as densely may not.  A seed that comes again within RUN words is told apart by its number in that run, so a repeated line matches
+along its whole length.  Each seed is joined with its leader, its first place in the
 document with the smallest id, rather than with all its places: a passage that n documents hold costs n matches.
 
 A document's matches with one leader are chained in order, a Fenwick tree giving for each match the best chain that
@@ -35,6 +36,8 @@ MIN_COPY = 20
 GAP_COST, MAX_GAP = 0.1, 40
 #: Words beyond a chain's ends that an extension may look at; copies this near are merged.
 REACH, TOUCH = 24, 2
+#: Equal seeds at most this far apart are one run.
+RUN = 24
 #: A gap of more words than this must align by half.
 LOOSE = 8
 
@@ -45,13 +48,17 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of all k-mers."""
+    """Hashes and places of all k-mers, a hash with the number of its seed in a run of equal ones."""
     n = len(words) - KMER + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int32)
     h = np.full(n, KMER, dtype=np.uint64)
     for k in range(KMER):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[k : n + k])
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (np.diff(order) > RUN)])
+    k = np.arange(n)
+    h[order] += mix64((k - np.maximum.accumulate(np.where(new, k, 0))).astype(np.uint64))  # mix64 keeps 0
     return h.view(np.int64), np.arange(n, dtype=np.int32)
 
 

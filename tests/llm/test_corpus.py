@@ -139,6 +139,21 @@ def test_fuzzy_passages_at_every_identity(spark):
     assert all(r.match_doc_id == k ^ 1 and r.start_word <= 32 and r.end_word >= 88 and r.identity >= 0.8 for k, r in got.items())
 
 
+def test_passages_of_a_repeated_line(spark):
+    rng = random.Random(43)
+    lines = ["la", "row your boat", text(rng, 11), text(rng, 16)]
+    texts = []
+    for line in lines:
+        run = (line.split() * 200)[:160]
+        texts += [" ".join([text(rng, 40), *run, text(rng, 40)]), " ".join([text(rng, 25), *run[1:], text(rng, 60)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in substring.passages(df.repartition(3)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for k, r in got.items():
+        start, end = (25, 184) if k % 2 else (40, 200)
+        assert abs(r.start_word - start) <= 2 and abs(r.end_word - end) <= 2, (k, r)
+
+
 def test_chain_scores_are_those_of_all_chains():
     rng = random.Random(17)
     for _ in range(60):
