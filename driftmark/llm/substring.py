@@ -3,7 +3,8 @@
 Seeds are all word k-mers.  Of MIN_WORDS words with every fifth substituted some KMER in a row are left, so a copy at
 IDENTITY by substitutions shares seeds; one that mixes insertions and deletions as densely may not.  A seed that comes again within RUN words is told apart by its number in that run, so a repeated line matches
 along its whole length.  Each seed is joined with its leader, its first place in the
-document with the smallest id, rather than with all its places: a passage that n documents hold costs n matches.
+document with the smallest id, rather than with all its places: a passage that n documents hold costs n matches.  The leader's own
+further places are joined with the first place in the document with the largest id.
 
 A document's matches with one leader are chained in order, a Fenwick tree giving for each match the best chain that
 ends before it in both texts, less a gap cost for the words skipped in either.  Chains are aligned word by word: ends
@@ -220,8 +221,10 @@ def passages(documents: DataFrame) -> DataFrame:
     ws = Workspace(spark, "substring")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
     each = ws.keep(docs.mapInPandas(_seeds, "h long, doc long, pos int"), "seeds")
-    lead = each.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "pos")).alias("l")).filter("lo < hi").select("h", F.col("l.doc").alias("lead"), F.col("l.pos").alias("at"))
-    matches = each.join(lead, "h").filter("doc <> lead").groupBy("doc").agg(F.collect_list(F.struct("lead", "pos", "at")).alias("matches"))
+    lead = each.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "pos")).alias("l"), F.max(F.struct("doc", (-F.col("pos")).alias("pos"))).alias("m")).filter("lo < hi").select("h", "l", "m")
+    others = F.col("doc") != F.col("l.doc")
+    led = each.join(lead, "h").filter(others | (F.col("pos") != F.col("l.pos")))
+    matches = led.select("doc", "pos", F.when(others, F.col("l.doc")).otherwise(F.col("m.doc")).alias("lead"), F.when(others, F.col("l.pos")).otherwise(-F.col("m.pos")).alias("at")).groupBy("doc").agg(F.collect_list(F.struct("lead", "pos", "at")).alias("matches"))
     chained = ws.keep(matches.mapInPandas(_chains, "doc long, lead long, a array<int>, b array<int>, a0 int, a1 int, b0 int, b1 int"), "chains")
     ws.drop("seeds")
     wanted = chained.select("doc", F.col("a0").alias("s"), F.col("a1").alias("e")).union(chained.select("lead", "b0", "b1")).distinct().groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))

@@ -154,6 +154,16 @@ def test_passages_of_a_repeated_line(spark):
         assert abs(r.start_word - start) <= 2 and abs(r.end_word - end) <= 2, (k, r)
 
 
+def test_a_leader_that_holds_a_passage_twice(spark):
+    rng = random.Random(47)
+    shared = text(rng, 70)
+    twice = " ".join([text(rng, 100), shared, text(rng, 330), shared, text(rng, 20)])
+    texts = [twice, *[text(rng, 30) + " " + shared for _ in range(3)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in substring.passages(df.repartition(3)).collect())
+    assert got == [(0, 100, 170), (0, 500, 570), (1, 30, 100), (2, 30, 100), (3, 30, 100)]
+
+
 def test_chain_scores_are_those_of_all_chains():
     rng = random.Random(17)
     for _ in range(60):
