@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import Workspace
@@ -220,13 +220,14 @@ def passages(documents: DataFrame) -> DataFrame:
     small_batches(spark)
     ws = Workspace(spark, "substring")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
-    each = ws.keep(docs.mapInPandas(_seeds, "h long, doc long, pos int"), "seeds")
-    lead = each.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "pos")).alias("l"), F.max(F.struct("doc", (-F.col("pos")).alias("pos"))).alias("m")).filter("lo < hi").select("h", "l", "m")
+    # leaders by a window, so that seeds are shuffled once and written nowhere else
+    same = Window.partitionBy("h")
+    first, last = F.min(F.struct("doc", "pos")).over(same), F.max(F.struct("doc", (-F.col("pos")).alias("pos"))).over(same)
+    each = docs.mapInPandas(_seeds, "h long, doc long, pos int").withColumns({"l": first, "m": last}).filter("l.doc < m.doc")
     others = F.col("doc") != F.col("l.doc")
-    led = each.join(lead, "h").filter(others | (F.col("pos") != F.col("l.pos")))
+    led = each.filter(others | (F.col("pos") != F.col("l.pos")))
     matches = led.select("doc", "pos", F.when(others, F.col("l.doc")).otherwise(F.col("m.doc")).alias("lead"), F.when(others, F.col("l.pos")).otherwise(-F.col("m.pos")).alias("at")).groupBy("doc").agg(F.collect_list(F.struct("lead", "pos", "at")).alias("matches"))
     chained = ws.keep(matches.mapInPandas(_chains, "doc long, lead long, a array<int>, b array<int>, a0 int, a1 int, b0 int, b1 int"), "chains")
-    ws.drop("seeds")
     wanted = chained.select("doc", F.col("a0").alias("s"), F.col("a1").alias("e")).union(chained.select("lead", "b0", "b1")).distinct().groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = ws.keep(docs.join(wanted, "doc").mapInPandas(_cut, "doc long, s int, e int, words binary"), "spans")
     both = chained.join(spans.select("doc", F.col("s").alias("a0"), F.col("e").alias("a1"), F.col("words").alias("wa")), ["doc", "a0", "a1"])
