@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and keeps their columns; the last returns token ids.
 ``labels`` and ``benchmark`` come from sf_dir.  Rows without text are as good as the model's value for an empty text,
 are no duplicates and no leaks, hold no personal data, and have no ids.  Rows without doc_id are never duplicates;
-rows that repeat a doc_id stay or go together.
+rows that repeat a doc_id are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import bpe, decontaminate, minhash, pii, quality
-from driftmark.llm.common import Workspace, sized
+from driftmark.llm.common import Workspace
 
 #: Near duplicates of the pipeline have 100 * intersection >= LEAST * union; op2 has its own contract.
 LEAST = 80
@@ -27,9 +27,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    ws = Workspace(spark, "near-duplicates")
-    gone = ws.keep(minhash.near_duplicates(docs, least=LEAST).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    return minhash.without_near_duplicates(docs, least=LEAST)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
