@@ -13,10 +13,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset and all runs on one machine a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
     return _LOCAL["dir"]
@@ -38,18 +41,6 @@ def remove(spark: SparkSession, where: str) -> None:
     fs.delete(path, True)
 
 
-#: Ids that are broadcast at most: some 60 MB as a hash table.  More of them are joined by a shuffle.
-FEW_IDS = 2_000_000
-
-
-def sized(ids: DataFrame, limit: int | None = None) -> DataFrame:
-    """A written table of one id column, to be broadcast if it has no more than FEW_IDS rows; else left to a shuffle.
-
-    Either way a join with it gives the same rows; a broadcast spares the other side, whole texts, its shuffle.
-    """
-    return F.broadcast(ids) if ids.count() <= (FEW_IDS if limit is None else limit) else ids
-
-
 class Workspace:
     """Intermediate tables of one operator call, as Parquet under the shared folder.
 

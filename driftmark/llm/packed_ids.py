@@ -27,12 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import Workspace
+from driftmark.llm.slots import filesystem
 from driftmark.llm.textbatch import Memo, pieces, small_batches
 
 MAGIC, BLOCK = b"PKIDS001", 1 << 16
@@ -212,10 +212,6 @@ def word_encoder(spec: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 @dataclass(frozen=True)
 class PackedDataset:
     """Files in ascending order of document ids: (path, documents, ids)."""

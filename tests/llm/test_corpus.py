@@ -74,6 +74,30 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(spark):
+    rng = random.Random(71)
+    base, other = text(rng, 120), text(rng, 120)
+    rows = [(3, base + " more", 1), (5, base, 2), (5, other, 3), (5, other, 4), (7, edited(rng, other, 1), 5), (9, base, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __metadata int").withColumnRenamed("__metadata", "_metadata")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 3, False)]
+    left = minhash.without_near_duplicates(df.repartition(3))
+    assert left.schema == df.schema and sorted(r[2] for r in left.collect()) == [1, 3, 4]
+
+
+def test_hot_groups_against_all_pairs(spark):
+    """A large group of copies, one of near copies, a chain, and rows that one line in common does not link."""
+    rng = random.Random(73)
+    base, line = text(rng, 150), text(rng, 30)
+    docs = [base] * 150 + [edited(rng, base, rng.randrange(1, 6)) for _ in range(150)] + [line + " " + text(rng, 60) for _ in range(60)]
+    sets = [shingle_set(t) for t in docs]
+    for least in (80, 85):
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+        df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df.repartition(11), least).collect()}
+        assert [got[k] for k in range(len(docs))] == union_find(len(docs), pairs)
+
+
 def test_circulant_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 400, dtype=np.uint64)
@@ -266,9 +290,7 @@ def test_replace_keeps_columns(spark):
     assert got.schema == df.schema and all(r.n_chars == (len(r.text) if r.text else None) for r in got.collect())
 
 
-@pytest.mark.parametrize("few", [0, 2_000_000])  # dropped ids by a shuffle, and by a broadcast
-def test_pipeline_stages(spark, tmp_path, few, monkeypatch):
-    monkeypatch.setattr("driftmark.llm.common.FEW_IDS", few)
+def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(21)
