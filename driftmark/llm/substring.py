@@ -1,19 +1,27 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
 Seeds are all word k-mers.  Of MIN_WORDS words with every fifth substituted some KMER in a row are left, so a copy at
-IDENTITY by substitutions shares seeds; one that mixes insertions and deletions as densely may not.  A seed that comes again within RUN words is told apart by its number in that run, so a repeated line matches
-along its whole length.  Each seed is joined with its leader, its first place in the
-document with the smallest id, rather than with all its places: a passage that n documents hold costs n matches.  The leader's own
-further places are joined with the first place in the document with the largest id.
+IDENTITY by substitutions shares seeds; one that mixes insertions and deletions as densely may not.  A seed that comes
+again within RUN words is told apart by its number in that run, so a repeated line matches along its whole length.
+Each place of a seed is matched with the seed's leader, its first place in the order of files and rows, rather than
+with all its places: a passage that n documents hold costs n matches.  The leader's own document matches its further
+places with the seed's place in the last document that has it.
 
 A document's matches with one leader are chained in order, a Fenwick tree giving for each match the best chain that
-ends before it in both texts, less a gap cost for the words skipped in either.  Chains are aligned word by word: ends
+ends before it in both texts, less a gap cost for the words skipped in either.  Chains whose seeds cover LEAST_COVER
+words (a copy of MIN_WORDS at IDENTITY covers at least 10, however its differences lie) are aligned word by word: ends
 are extended, gaps are aligned by their longest common subsequence, and a chain is cut where a gap doesn't align.
 What aligns with IDENTITY or more is a fuzzy copy.  A document's copies that touch are merged, and passages of
 MIN_WORDS words or more are returned, for the leaders too.
 
+At scale: no text is shuffled.  A first pass packs seeds in blocks by ranges of their hash (48 bits, as differences of
+sorted ones), at most two places a seed and block, the first and the last row's, so that a seed of all documents sends
+two a block.  Whoever gets a range finds leaders and answers each slot of rows (``slots``) once for each seed that
+another row has.  The answers wait on a shelf for the second pass, which chains.  Leaders' words are asked for by
+spans on a grid of GRID words, so their number is bounded by the leader's length, not by its followers.
+
 Null and empty texts and texts of fewer than KMER words have no seeds.  Rows without doc_id are left out; rows that
-repeat a doc_id are one document's, and places in one document are never copies of each other.
+repeat a doc_id are texts of their own.
 """
 
 from __future__ import annotations
@@ -22,12 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import Workspace
 from driftmark.llm.minhash import mix64
+from driftmark.llm.slots import ROW, SLOT, Shelf, addressed, fetched, shelve
 from driftmark.llm.textbatch import small_batches
 
 KMER, MIN_WORDS, IDENTITY = 4, 50, 0.8
@@ -35,12 +46,18 @@ KMER, MIN_WORDS, IDENTITY = 4, 50, 0.8
 MIN_COPY = 20
 #: Words skipped in either text cost GAP_COST each; a chain is cut where more than MAX_GAP are skipped.
 GAP_COST, MAX_GAP = 0.1, 40
+#: Words that a chain's seeds cover at least.
+LEAST_COVER = 8
 #: Words beyond a chain's ends that an extension may look at; copies this near are merged.
 REACH, TOUCH = 24, 2
 #: Equal seeds at most this far apart are one run.
 RUN = 24
 #: A gap of more words than this must align by half.
 LOOSE = 8
+#: A leader's spans start and stop on multiples of this.
+GRID = 32
+#: Seeds of a block at most, over all ranges; bytes of input that one range of hashes stands for.
+PIECE_SEEDS, RANGE_BYTES = 2_000_000, 16 << 20
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -63,10 +80,146 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.int64), np.arange(n, dtype=np.int32)
 
 
-def _seeds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        found = [seeds(word_hashes(t)) for t in part["text"]]
-        yield pd.DataFrame({"h": np.concatenate([h for h, _ in found]), "doc": np.repeat(part["doc"].to_numpy(), [len(h) for h, _ in found]), "pos": np.concatenate([p for _, p in found])})
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays of one length, byte by byte of their numbers, compressed."""
+    head = np.array([len(columns), *[c.dtype.num for c in columns], len(columns[0])], dtype=np.int64).tobytes()
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+
+
+_KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint16, np.uint32, np.uint64, np.int64)}
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    k = int(np.frombuffer(raw, np.int64, 1)[0])
+    *kinds, n = np.frombuffer(raw, np.int64, k + 1, 8).tolist()
+    at, out = 8 * (k + 2), []
+    for kind in kinds:
+        size = _KINDS[kind].itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(_KINDS[kind]))
+        at += n * size
+    return out
+
+
+def _steps(h: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences, in four bytes each where they fit."""
+    d = np.diff(h, prepend=np.uint64(0))
+    return d.astype(np.uint32) if not len(d) or d.max() < 1 << 32 else d
+
+
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys starts."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _blocks(ranges: int):
+    """Makes rows (span, slot, payload) of texts: a slot's seeds by range of their hash, with the first and the last row's place."""
+
+    def flush(slot: int, held: list) -> pd.DataFrame:
+        h, row, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+        order = np.argsort(h, kind="stable")
+        h, row, pos = h[order], row[order], pos[order]
+        each = _first_of(h, row)  # a row's first place of a seed
+        h, row, pos = h[each], row[each], pos[each]
+        start = _first_of(h)
+        last = np.append(start[1:], len(h)) - 1
+        pick = np.unique(np.concatenate([start, last]))
+        h, row, pos = h[pick], row[pick], pos[pick]
+        bounds = [(k << 48) // ranges for k in range(1, ranges)]
+        cut = [0, *np.searchsorted(h, np.array(bounds, dtype=np.uint64)).tolist(), len(h)]
+        made = [(k, slot, pack(_steps(h[a:b]), row[a:b], pos[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        return pd.DataFrame(made, columns=["span", SLOT, "payload"])
+
+    def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count, now = [], 0, None
+        for part in parts:
+            for slot, row, t in zip(part[SLOT], part[ROW], part["text"], strict=True):
+                if held and (slot != now or count >= PIECE_SEEDS):
+                    yield flush(now, held)
+                    held, count = [], 0
+                now = slot
+                h, pos = seeds(word_hashes(t))
+                if len(h):
+                    held.append((h.view(np.uint64) >> np.uint64(16), np.full(len(h), row, np.uint16), pos.astype(np.uint32)))
+                    count += len(h)
+        if held:
+            yield flush(now, held)
+
+    return make
+
+
+def _leaders(part: pd.DataFrame) -> pd.DataFrame:
+    """For a range of hashes: to each slot its seeds that another row has, with their leaders' places.
+
+    To the leader's slot also the place in the last row, for the leader's further places.
+    """
+    part = part.sort_values(SLOT)
+    slots = np.unique(part[SLOT].to_numpy())
+    held = []
+    for slot, payload in zip(part[SLOT], part["payload"], strict=True):
+        steps, row, pos = unpack(payload)
+        held.append((np.cumsum(steps, dtype=np.uint64), np.full(len(row), np.searchsorted(slots, slot), np.uint32), row, pos))
+    h, own, row, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
+    order = np.lexsort((pos, row, own, h))
+    h, own, row, pos = h[order], own[order], row[order], pos[order]
+    start = _first_of(h)
+    size = np.diff(np.append(start, len(h)))
+    last = start + size - 1
+    shared = (own[start] != own[last]) | (row[start] != row[last])
+    lead, end = np.repeat(start, size), np.repeat(last, size)
+    pick = np.zeros(len(h), dtype=bool)
+    pick[_first_of(h, own)] = True
+    pick &= np.repeat(shared, size)
+    at = np.flatnonzero(pick)
+    at = at[np.argsort(own[at], kind="stable")]
+    cut = [*_first_of(own[at]).tolist(), len(at)] if len(at) else []
+    made = []
+    for a, b in zip(cut, cut[1:], strict=False):
+        x, y, z = at[a:b], lead[at[a:b]], end[at[a:b]]
+        tells = own[y] == own[x]
+        other = [np.where(tells, v[z] + np.uint32(1), 0).astype(np.uint32) for v in (own, row.astype(np.uint32), pos)]
+        named, index = np.unique(np.concatenate([slots[own[y]], slots[own[z][tells]]]), return_inverse=True)
+        lead_slot, last_slot = index[: b - a].astype(np.uint32), np.zeros(b - a, np.uint32)
+        last_slot[tells] = index[b - a :] + 1
+        payload = pack(_steps(h[x]), lead_slot, row[y], pos[y], last_slot, other[1], other[2])
+        made.append((int(slots[own[x[0]]]), pack(named), payload))
+    return pd.DataFrame(made, columns=[SLOT, "named", "payload"])
+
+
+def _answers(table: pa.Table) -> list[np.ndarray]:
+    """(hash, leader's slot, row, place, last one's slot, row, place) of a slot's shared seeds; the last one's row is -1 where untold."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+    for named, payload in zip(table.column("named").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        names = unpack(named)[0]
+        steps, lead_slot, row, pos, last_slot, last_row, last_pos = unpack(payload)
+        own = (np.cumsum(steps, dtype=np.uint64), names[lead_slot], row.astype(np.int64), pos.astype(np.int64))
+        far = (names[np.maximum(last_slot, 1) - 1], last_row.astype(np.int64) - 1, last_pos.astype(np.int64) - 1)
+        for col, v in zip(cols, (*own, *far), strict=True):
+            col.append(v)
+    out = [np.concatenate(c) for c in cols]
+    order = np.argsort(out[0], kind="stable")
+    return [c[order] for c in out]
+
+
+def _thinned(lead: np.ndarray, pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of a run of seeds on one diagonal every KMER-th and the last: they cover the same words and score the same."""
+    order = np.lexsort((pos, at - pos, lead))
+    lead, pos, shift = lead[order], pos[order], (at - pos)[order]
+    start = np.ones(len(pos), dtype=bool)
+    start[1:] = (lead[1:] != lead[:-1]) | (shift[1:] != shift[:-1]) | (pos[1:] != pos[:-1] + 1)
+    k = np.arange(len(pos))
+    step = k - np.maximum.accumulate(np.where(start, k, 0))
+    return np.sort(order[(step % KMER == 0) | np.append(start[1:], True)])
+
+
+def _cover(a: list[int]) -> int:
+    """Words that seeds at rising places cover."""
+    return KMER + sum(min(KMER, y - x) for x, y in zip(a, a[1:], strict=False))
 
 
 def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -113,18 +266,59 @@ def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _chains(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rows = []
-        for doc, matches in zip(part["doc"], part["matches"], strict=True):
-            by: dict[int, list[tuple[int, int]]] = {}
-            for m in matches:
-                by.setdefault(m["lead"], []).append((m["pos"], m["at"]))
-            for lead, own in by.items():
-                for chain in chains(own):
-                    a, b = [x for x, _ in chain], [y for _, y in chain]
-                    rows.append((doc, lead, a, b, max(0, a[0] - REACH), a[-1] + KMER + REACH, max(0, b[0] - REACH), b[-1] + KMER + REACH))
-        yield pd.DataFrame(rows, columns=["doc", "lead", "a", "b", "a0", "a1", "b0", "b1"])
+def _chained(shelf: Shelf):
+    """Makes the chains of texts, each with its own words and the leader's span on the grid."""
+
+    def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, known = None, None
+        for part in parts:
+            rows = []
+            for slot, row, doc, t in zip(part[SLOT], part[ROW], part["doc"], part["text"], strict=True):
+                if slot != now:
+                    there, now = shelf.of(slot), slot
+                    known = None if there is None else _answers(there)
+                    shelf._last = (None, None)
+                if known is not None:
+                    rows += [(slot, row, doc, *c) for c in _chains_of(slot, row, word_hashes(t), known)]
+            yield pd.DataFrame(rows, columns=[SLOT, ROW, "doc", "lead_slot", "lead_row", "a", "b", "a0", "b0", "b1", "words"])
+
+    return make
+
+
+def _chains_of(slot: int, row: int, words: np.ndarray, known: list[np.ndarray]) -> Iterator[tuple]:
+    h, pos = seeds(words)
+    h = h.view(np.uint64) >> np.uint64(16)
+    k = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+    k, pos = k[known[0][k] == h], pos[known[0][k] == h].astype(np.int64)
+    own = (known[1][k] == slot) & (known[2][k] == row)
+    lead_slot, lead_row, at = (np.where(own, known[i + 3][k], known[i][k]) for i in (1, 2, 3))
+    # no match: the leader's own place, and one whose other place isn't told
+    good = ~(own & (pos == known[3][k])) & (lead_row >= 0) & ~((lead_slot == slot) & (lead_row == row))
+    lead_slot, lead_row, at, pos = lead_slot[good], lead_row[good], at[good], pos[good]
+    if len(pos) < 2:
+        return
+    leads, lead = np.unique(np.stack([lead_slot, lead_row]), axis=1, return_inverse=True)
+    many = np.bincount(lead)[lead] > 1  # one seed covers KMER words, which is less than LEAST_COVER
+    lead, at, pos = lead[many], at[many], pos[many]
+    if not len(pos):
+        return
+    pick = _thinned(lead, pos, at)
+    lead, at, pos = lead[pick], at[pick], pos[pick]
+    order = np.argsort(lead, kind="stable")
+    cut = [*_first_of(lead[order]).tolist(), len(order)]
+    short = words.astype(np.uint32)
+    for x, y in zip(cut, cut[1:], strict=False):
+        part = order[x:y]
+        if len(part) == 1:
+            continue
+        for chain in chains(list(zip(pos[part].tolist(), at[part].tolist(), strict=True))):
+            a, b = [p for p, _ in chain], [q for _, q in chain]
+            if min(_cover(a), _cover(b)) < LEAST_COVER:
+                continue
+            a0, b0, b1 = max(0, a[0] - REACH), max(0, b[0] - REACH) // GRID * GRID, -(-(b[-1] + KMER + REACH) // GRID) * GRID
+            places = [np.diff(v, prepend=0).astype(np.int32).tobytes() for v in (a, b)]
+            i = int(lead[part[0]])
+            yield int(leads[0, i]), int(leads[1, i]), *places, a0, b0, b1, short[a0 : a[-1] + KMER + REACH].tobytes()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -177,24 +371,30 @@ def align(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int]) -> list[tupl
     return [(s, e, o, f, n / max(e - s, f - o)) for s, e, o, f, n in pieces]
 
 
-def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rows = []
-        for doc, text, spans in zip(part["doc"], part["text"], part["spans"], strict=True):
-            words = word_hashes(text).astype(np.uint32)
-            rows += [(doc, s["s"], s["e"], words[s["s"] : s["e"]].tobytes()) for s in spans]
-        yield pd.DataFrame(rows, columns=["doc", "s", "e", "words"])
+def _spans(own: pa.RecordBatch, there: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The words of the spans that the shelf asks of rows (doc, text, address)."""
+    for k in range(own.num_rows):
+        words = word_hashes(own.column("text")[k].as_py()).astype(np.uint32)
+        asked = there.column("spans")[k].as_py()
+        cols = [pa.array([v] * len(asked), pa.int64()) for v in (own.column(SLOT)[k].as_py(), own.column(ROW)[k].as_py(), own.column("doc")[k].as_py())]
+        ends = [pa.array([s[n] for s in asked], pa.int32()) for n in ("b0", "b1")]
+        cut = pa.array([words[s["b0"] : s["b1"]].tobytes() for s in asked], pa.binary())
+        yield pa.record_batch([*cols, *ends, cut], names=["lead_slot", "lead_row", "other", "b0", "b1", "lead_words"])
 
 
 def _aligned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = []
         for r in part.itertuples(index=False):
-            x, y = np.frombuffer(r.wa, dtype=np.uint32), np.frombuffer(r.wb, dtype=np.uint32)
-            for s, e, o, f, share in align(x, y, [int(k) - r.a0 for k in r.a], [int(k) - r.b0 for k in r.b]):
+            x, y = np.frombuffer(r.words, dtype=np.uint32), np.frombuffer(r.lead_words, dtype=np.uint32)
+            a, b = (np.cumsum(np.frombuffer(v, dtype=np.int32)) for v in (r.a, r.b))
+            for s, e, o, f, share in align(x, y, (a - r.a0).tolist(), (b - r.b0).tolist()):
                 if min(e - s, f - o) >= MIN_COPY and share >= IDENTITY:
-                    rows.append((r.doc, s + r.a0, e + r.a0, r.lead, o + r.b0, f + r.b0, share))
-        yield pd.DataFrame(rows, columns=["doc", "start", "stop", "other", "other_start", "other_stop", "identity"])
+                    rows.append((r.slot, r.row, r.doc, s + r.a0, e + r.a0, r.lead_slot, r.lead_row, r.other, o + r.b0, f + r.b0, share))
+        yield pd.DataFrame(rows, columns=_COPY)
+
+
+_COPY = ["slot", "row", "doc", "start", "stop", "lead_slot", "lead_row", "other", "other_start", "other_stop", "identity"]
 
 
 def _merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,21 +419,31 @@ def passages(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "substring")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
-    each = ws.keep(docs.mapInPandas(_seeds, "h long, doc long, pos int"), "seeds")
-    lead = each.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "pos")).alias("l"), F.max(F.struct("doc", (-F.col("pos")).alias("pos"))).alias("m")).filter("lo < hi").select("h", "l", "m")
-    others = F.col("doc") != F.col("l.doc")
-    led = each.join(lead, "h").filter(others | (F.col("pos") != F.col("l.pos")))
-    matches = led.select("doc", "pos", F.when(others, F.col("l.doc")).otherwise(F.col("m.doc")).alias("lead"), F.when(others, F.col("l.pos")).otherwise(-F.col("m.pos")).alias("at")).groupBy("doc").agg(F.collect_list(F.struct("lead", "pos", "at")).alias("matches"))
-    chained = ws.keep(matches.mapInPandas(_chains, "doc long, lead long, a array<int>, b array<int>, a0 int, a1 int, b0 int, b1 int"), "chains")
-    ws.drop("seeds")
-    wanted = chained.select("doc", F.col("a0").alias("s"), F.col("a1").alias("e")).union(chained.select("lead", "b0", "b1")).distinct().groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    spans = ws.keep(docs.join(wanted, "doc").mapInPandas(_cut, "doc long, s int, e int, words binary"), "spans")
-    both = chained.join(spans.select("doc", F.col("s").alias("a0"), F.col("e").alias("a1"), F.col("words").alias("wa")), ["doc", "a0", "a1"])
-    both = both.join(spans.select(F.col("doc").alias("lead"), F.col("s").alias("b0"), F.col("e").alias("b1"), F.col("words").alias("wb")), ["lead", "b0", "b1"])
-    copies = ws.keep(both.mapInPandas(_aligned, "doc long, start int, stop int, other long, other_start int, other_stop int, identity double"), "copies")
-    ws.drop("spans")
+    named = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc_id is not null and text is not null")
+    docs = addressed(ws, named)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = max(16, -(-size // RANGE_BYTES))
+    packed = docs.select("text", SLOT, ROW).mapInPandas(_blocks(ranges), f"span int, {SLOT} long, payload binary")
+    answers = packed.groupBy("span").applyInPandas(_leaders, f"{SLOT} long, named binary, payload binary")
+    shelf = shelve(ws, answers, "answers")
+    kinds = f"{SLOT} long, {ROW} int, doc long, lead_slot long, lead_row int, a binary, b binary, a0 int, b0 int, b1 int, words binary"
+    chained = ws.keep(docs.mapInPandas(_chained(shelf), kinds), "chains")
+    ws.drop("answers")
+
+    asked = chained.select(F.col("lead_slot").alias(SLOT), F.col("lead_row").alias(ROW), "b0", "b1").distinct()
+    asked = asked.groupBy(SLOT, ROW).agg(F.collect_list(F.struct("b0", "b1")).alias("spans"))
+    kinds = "lead_slot long, lead_row long, other long, b0 int, b1 int, lead_words binary"
+    spans = ws.keep(fetched(docs, shelve(ws, asked, "asked"), _spans, kinds), "spans")
+    both = chained.withColumnsRenamed({SLOT: "slot", ROW: "row"}).join(spans, ["lead_slot", "lead_row", "b0", "b1"])
+    kinds = "slot long, row int, doc long, start int, stop int, lead_slot long, lead_row int, other long, other_start int, other_stop int, identity double"
+    copies = ws.keep(both.mapInPandas(_aligned, kinds), "copies")
+    for name in ("chains", "asked", "spans"):
+        ws.drop(name)
     # a leader's span that many copies share comes once, with the smallest of their ids
-    back = copies.groupBy(F.col("other").alias("doc"), F.col("other_start").alias("start"), F.col("other_stop").alias("stop")).agg(F.min(F.struct(F.col("doc").alias("other"), F.col("start").alias("other_start"), F.col("stop").alias("other_stop"), "identity")).alias("x")).select("doc", "start", "stop", "x.*")
-    whole = copies.union(back).groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "other", "other_start", "other_stop", "identity")).alias("copies"))
-    return whole.mapInPandas(_merged, "doc_id long, start_word int, end_word int, n_words int, match_doc_id long, match_start int, match_end int, identity double")
+    turned = F.struct(F.col("doc").alias("other"), F.col("start").alias("other_start"), F.col("stop").alias("other_stop"), "identity")
+    lead = [F.col("lead_slot").alias("slot"), F.col("lead_row").alias("row"), F.col("other").alias("doc"), F.col("other_start").alias("start"), F.col("other_stop").alias("stop")]
+    back = copies.groupBy(*lead).agg(F.min(turned).alias("x")).select("slot", "row", "doc", "start", "stop", "x.*")
+    whole = copies.select(*back.columns).union(back).groupBy("slot", "row", "doc")
+    each = whole.agg(F.collect_list(F.struct("start", "stop", "other", "other_start", "other_stop", "identity")).alias("copies"))
+    out = "doc_id long, start_word int, end_word int, n_words int, match_doc_id long, match_start int, match_end int, identity double"
+    return each.select("doc", "copies").mapInPandas(_merged, out)
