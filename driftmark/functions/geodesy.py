@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from driftmark.functions.units import EARTH_RADIUS_M
 
@@ -47,51 +50,49 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Distance on WGS 84 by Vincenty's inverse formula, a fixed number of iterations; 0 between equal places.
+def vincenty_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """Distance on WGS 84 by Vincenty's inverse formula, a fixed number of iterations; 0 between equal places, nan for missing ones.
 
     Nearly antipodal places, for which the iteration doesn't settle, get what it has come to.
     """
-    u = lambda lat: F.atan((1 - WGS84_F) * F.tan(F.radians(lat)))
-    base = F.struct(F.sin(u(lat1)).alias("s1"), F.cos(u(lat1)).alias("c1"), F.sin(u(lat2)).alias("s2"), F.cos(u(lat2)).alias("c2"), F.radians(lon2 - lon1).alias("l"))
-
-    def about(p: Column, lam: Column) -> Column:
-        sin = F.sqrt(F.pow(p["c2"] * F.sin(lam), 2) + F.pow(p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam), 2))
-        cos = p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam)
-        return F.struct(sin.alias("sin"), cos.alias("cos"), F.atan2(sin, cos).alias("sigma"), F.coalesce(F.try_divide(p["c1"] * p["c2"] * F.sin(lam), sin), F.lit(0.0)).alias("sa"))
-
-    def middle(p: Column, q: Column) -> Column:
-        """cos(2 sigma_m) and cos^2 alpha; on the equator the first is 0."""
-        c2a = 1 - q["sa"] * q["sa"]
-        return F.struct(c2a.alias("c2a"), F.coalesce(q["cos"] - F.try_divide(2 * p["s1"] * p["s2"], F.when(c2a > 1e-15, c2a)), F.lit(0.0)).alias("cm"))
-
-    def step(p: Column, lam: Column) -> Column:
-        def inner(q: Column) -> Column:
-            def last(m: Column) -> Column:
-                c = WGS84_F / 16 * m["c2a"] * (4 + WGS84_F * (4 - 3 * m["c2a"]))
-                return p["l"] + (1 - c) * WGS84_F * q["sa"] * (q["sigma"] + c * q["sin"] * (m["cm"] + c * q["cos"] * (2 * m["cm"] * m["cm"] - 1)))
-
-            return let(middle(p, q), last)
+    f = WGS84_F
+    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(v))) for v in (lat1, lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    whole = lam = np.radians(lon2 - lon1)
+
+    def about(lam: np.ndarray) -> tuple[np.ndarray, ...]:
+        sin = np.sqrt((c2 * np.sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * np.cos(lam)) ** 2)
+        cos = s1 * s2 + c1 * c2 * np.cos(lam)
+        alpha = np.where(sin != 0, c1 * c2 * np.sin(lam) / sin, 0.0)
+        square = 1 - alpha * alpha
+        # on the equator the middle of the line has no latitude of its own
+        middle = np.where(square > 1e-15, cos - 2 * s1 * s2 / square, 0.0)
+        return sin, cos, np.arctan2(sin, cos), alpha, square, middle
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for _ in range(ITERATIONS):
+            sin, cos, sigma, alpha, square, middle = about(lam)
+            c = f / 16 * square * (4 + f * (4 - 3 * square))
+            lam = whole + (1 - c) * f * alpha * (sigma + c * sin * (middle + c * cos * (2 * middle * middle - 1)))
+        sin, cos, sigma, alpha, square, middle = about(lam)
+        k = square * ((WGS84_A**2 - WGS84_B**2) / WGS84_B**2)
+        a = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+        b = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+        twice = middle * middle
+        last = b / 6 * middle * (4 * sin * sin - 3) * (4 * twice - 3)
+        out = WGS84_B * a * (sigma - b * sin * (middle + b / 4 * (cos * (2 * twice - 1) - last))) / 1000
+    return np.where((lat1 == lat2) & (lon1 == lon2), 0.0, out)
+
+
+@F.pandas_udf(DoubleType())
+def _geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    km = vincenty_km(*(v.to_numpy(dtype=float, na_value=np.nan) for v in (lat1, lon1, lat2, lon2)))
+    return pd.Series(km).astype("Float64").where(~np.isnan(km), pd.NA)
 
-        return let(about(p, lam), inner)
 
-    def whole(p: Column) -> Column:
-        lam = F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), p["l"], lambda acc, _: step(p, acc))
-
-        def inner(q: Column) -> Column:
-            def last(m: Column) -> Column:
-                u2 = m["c2a"] * ((WGS84_A**2 - WGS84_B**2) / WGS84_B**2)
-                a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-                b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-                m2 = m["cm"] * m["cm"]
-                delta = b * q["sin"] * (m["cm"] + b / 4 * (q["cos"] * (2 * m2 - 1) - b / 6 * m["cm"] * (4 * q["sin"] * q["sin"] - 3) * (4 * m2 - 3)))
-                return F.lit(WGS84_B) * a * (q["sigma"] - delta) / 1000
-
-            return let(middle(p, q), last)
-
-        return let(about(p, lam), inner)
-
-    return F.when((lat1 == lat2) & (lon1 == lon2), F.lit(0.0)).otherwise(let(base, whole))
+def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """``vincenty_km`` of columns, NULL where a place is missing: Arrow batches, as the iteration is too long an expression to compile."""
+    return _geodesic(*(v.cast("double") for v in (lat1, lon1, lat2, lon2)))
 
 
 def box_degrees(radius_m: float, lat: Column) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.functions.geodesy import let
@@ -131,3 +131,38 @@ def centres(level: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def resolution(level: int) -> float:
     """The side in radians of a square as large as a cell."""
     return math.sqrt(4 * math.pi / (12 * 4**level))
+
+
+#: The level at which cells about a box are looked for on the driver: 49,152 cells at most, whatever the grid's level.
+COARSE = 6
+
+
+def cells_in_box(spark: SparkSession, level: int, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
+    """(cell_id, lat, lon) of every cell whose centre lies in the box, ends included; lon[0] > lon[1] spans the date line.
+
+    Coarse cells near the box are found first; their parts are made and tested in tasks.
+    """
+    top = min(level, COARSE)
+    at_lat, at_lon = centres(top, np.arange(12 * 4**top))
+    margin = 2 * math.degrees(resolution(top))
+    wide = np.where(np.abs(at_lat) + margin >= 89, 360.0, margin / np.maximum(np.cos(np.radians(at_lat)), 1e-3))
+    width = (lon[1] - lon[0]) % 360 if lon[0] > lon[1] or lon[1] - lon[0] < 360 else 360.0
+    past = (at_lon - lon[0] + wide) % 360
+    near = (at_lat >= lat[0] - margin) & (at_lat <= lat[1] + margin) & ((past <= width + 2 * wide) | (wide >= 180))
+    parts = 4 ** (level - top)
+    coarse = spark.createDataFrame([(int(c),) for c in np.flatnonzero(near)], "coarse long")
+    inside = F.explode(F.sequence(F.col("coarse") * parts, F.col("coarse") * parts + (parts - 1))).alias("cell_id")
+    cells = coarse.repartition(max(1, int(near.sum()) * parts // 200_000 + 1)).select(inside)
+    y, x = cell_to_place(level, F.col("cell_id"))
+    if width >= 360:
+        across = F.lit(True)
+    elif lon[0] > lon[1]:
+        across = (F.col("lon") >= lon[0]) | (F.col("lon") <= lon[1])
+    else:
+        across = (F.col("lon") >= lon[0]) & (F.col("lon") <= lon[1])
+    return cells.select("cell_id", y.alias("lat"), x.alias("lon")).filter((F.col("lat") >= lat[0]) & (F.col("lat") <= lat[1]) & across)
+
+
+def snapped(level: int, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """The centre of the cell that holds a place."""
+    return cell_to_place(level, place_to_cell(level, lat, lon))

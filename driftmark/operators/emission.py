@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.distributions import normal, normalise, planar_normal, spherical_normal
+from driftmark.functions.healpix import snapped
 
 
 def temperature_pdf(diff: DataFrame, std: float) -> DataFrame:
@@ -18,13 +19,17 @@ def temperature_pdf(diff: DataFrame, std: float) -> DataFrame:
     return diff.withColumn("pdf", normal(F.col("diff"), 0.0, std))
 
 
-def position_pdf(grid: DataFrame, events: DataFrame, event: str, std: float, spherical: bool = True, names: tuple[str, str] = ("lat", "lon")) -> DataFrame:
+def position_pdf(grid: DataFrame, events: DataFrame, event: str, std: float, spherical: bool = True, names: tuple[str, str] = ("lat", "lon"), level: int | None = None) -> DataFrame:
     """(tag_id, cell_id, p): for each tag, a Gaussian about the place of its event, normalised over ``grid``.
 
-    Tags whose event has no place have no rows.  Events are a row a tag and are broadcast while Spark's threshold
+    On a HEALPix grid of a ``level`` the place is its cell's centre, so a deviation far below a cell's size still leaves
+    that cell.  Tags whose event has no place have no rows.  Events are a row a tag and are broadcast while Spark's threshold
     allows; the grid is never collected.
     """
     at = events.filter(F.col("event_name") == event).filter("latitude is not null and longitude is not null").select("tag_id", "latitude", "longitude")
+    if level is not None:
+        y, x = snapped(level, F.col("latitude"), F.col("longitude"))
+        at = at.select("tag_id", y.alias("latitude"), x.alias("longitude"))
     both = grid.crossJoin(at)
     lat, lon = F.col(names[0]), F.col(names[1])
     if spherical:
@@ -35,13 +40,13 @@ def position_pdf(grid: DataFrame, events: DataFrame, event: str, std: float, sph
     return normalise(both.select("tag_id", "cell_id", p.alias("p")), "p", ["tag_id"])
 
 
-def compute_emission_pdf(diff: DataFrame, grid: DataFrame, events: DataFrame, differences_std: float = 0.75, initial_std: float = 1e-5, recapture_std: float | None = None, spherical: bool = True) -> dict[str, DataFrame]:
+def compute_emission_pdf(diff: DataFrame, grid: DataFrame, events: DataFrame, differences_std: float = 0.75, initial_std: float = 1e-5, recapture_std: float | None = None, spherical: bool = True, level: int | None = None) -> dict[str, DataFrame]:
     """The tables ``emission`` (with pdf), ``initial``, ``final`` (without rows where no recapture place is known) and ``mask``."""
-    last = [position_pdf(grid, events, e, recapture_std or initial_std, spherical) for e in ("fish_death", "recapture")]
+    last = [position_pdf(grid, events, e, recapture_std or initial_std, spherical, level=level) for e in ("fish_death", "recapture")]
     final = last[0].unionByName(last[1].join(last[0].select("tag_id").distinct(), "tag_id", "left_anti"))
     return {
         "emission": temperature_pdf(diff, differences_std),
-        "initial": position_pdf(grid, events, "release", initial_std, spherical),
+        "initial": position_pdf(grid, events, "release", initial_std, spherical, level=level),
         "final": final,
         "mask": diff.groupBy("cell_id").agg(F.bool_or("ocean_mask").alias("mask")) if "ocean_mask" in diff.columns else grid.select("cell_id", F.lit(True).alias("mask")),
     }
@@ -74,5 +79,14 @@ def combine_with_acoustic(emission: DataFrame, acoustic: DataFrame, by: tuple[st
     return both.withColumn("replaced", none & some).withColumn("pdf", F.when(F.col("replaced"), F.col("acoustic")).otherwise(F.col("pdf")))
 
 
+def without_acoustic(layers: DataFrame, acoustic: DataFrame) -> DataFrame:
+    """layers with ``acoustic`` 1 for tags that have no acoustic table at all.
+
+    For the others a missing chance stays missing: a cell that a silent receiver covers is no place to be in.
+    """
+    tags = acoustic.select("tag_id").distinct().withColumn("heard", F.lit(True))
+    return layers.join(tags, "tag_id", "left").withColumn("acoustic", F.when(F.col("heard").isNull(), 1.0).otherwise(F.col("acoustic"))).drop("heard")
+
+
 def normalise_pdf(emission: DataFrame, columns: list[str], final: DataFrame | None = None, by: tuple[str, ...] = ("tag_id", "time")) -> DataFrame:
     return combine(emission, columns, final, by)

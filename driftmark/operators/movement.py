@@ -2,8 +2,8 @@
 
 A step carries a whole field, so one tag's steps are sequential; tags are independent and go in parallel, each in one
 Arrow task (``score``, ``smooth``, ``fit``, ``viterbi``).  A tag's task holds a few arrays of steps times cells.  For
-tags that are larger than a task, ``forward_distributed`` runs a step as a join with the kernel and cuts lineage by a
-written table; it is parallel over cells.
+fields that are larger than a task, ``Spread`` (scores, states, paths) and ``fit_distributed`` run a step as a join with
+the kernel and cut lineage by a written table; they are parallel over cells.
 
 Tables: emission (tag_id, time, cell_id, pdf), initial (tag_id, cell_id, p), grid (cell_id, x, y or lat, lon, mask).
 Missing densities count as 0.  The grid is sent to every task and is limited to MAX_CELLS rows.
@@ -19,14 +19,15 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.distributions import gaussian_line
+from driftmark.functions.geodesy import angle
 
 #: Cells a grid may have to be sent to tasks; 20 million bytes of places and mask.
 MAX_CELLS = 800_000
-#: What stands in for the logarithm's infinity when a normaliser is 0, and keeps ratios finite in the backward pass.
+#: What stands in for the logarithm's infinity when a normaliser is 0, and what keeps ratios finite in the backward pass.
 NO_SCORE, EPS = 1e6, 2.204e-16**20
 
 
@@ -47,7 +48,7 @@ class Grid:
         mask = F.coalesce(F.col("mask"), F.lit(False)) if "mask" in grid.columns else F.lit(True)
         rows = grid.select("cell_id", mask.alias("mask"), *names).limit(MAX_CELLS + 1).toPandas().sort_values("cell_id")
         if len(rows) > MAX_CELLS:
-            raise ValueError(f"the grid has more than {MAX_CELLS} cells; use forward_distributed")
+            raise ValueError(f"the grid has more than {MAX_CELLS} cells; use Spread, which goes step by step over all executors")
         return cls(rows["cell_id"].to_numpy(), rows["mask"].to_numpy(dtype=bool), **{n: rows[n].to_numpy() for n in names})
 
 
@@ -75,44 +76,92 @@ def _same_convolve(row: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.convolve(row, line)[half : half + len(row)]
 
 
-def sphere_kernel(grid: Grid, reach: float, weight: Callable[[np.ndarray], np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(dst, src, w) by angle between centres up to reach, rows normalised, weights of ``least`` or less dropped."""
-    lat, lon = np.radians(grid.lat.astype(float)), np.radians(grid.lon.astype(float))
-    v = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
-    dst, src, w = [], [], []
-    block = max(1, 4_000_000 // max(1, len(v)))
+@dataclass(frozen=True)
+class Neighbours:
+    """For each cell those within ``reach`` radians, itself included: cell i has start[i] to start[i + 1] of src and angle."""
+
+    reach: float
+    start: np.ndarray
+    src: np.ndarray
+    angle: np.ndarray
+
+
+def neighbours(lat: np.ndarray, lon: np.ndarray, reach: float, block: int = 20_000) -> Neighbours:
+    """Cells by cubes of space as wide as the reach's chord, so only adjoining cubes are measured: linear in cells."""
+    y, x = np.radians(lat.astype(float)), np.radians(lon.astype(float))
+    v = np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], axis=1)
+    side = max(2 * math.sin(min(reach, math.pi) / 2) * (1 + 1e-9), 1e-6)
+    cube = np.floor((v + 1) / side).astype(np.int64) + 1
+    n = int(2 / side) + 4
+    key = (cube[:, 0] * n + cube[:, 1]) * n + cube[:, 2]
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    counts, src, angle = np.zeros(len(v), dtype=np.int64), [], []
     for i in range(0, len(v), block):
-        chord = np.sqrt(np.maximum(0.0, ((v[i : i + block, None, :] - v[None, :, :]) ** 2).sum(axis=2)))
-        a = 2 * np.arcsin(np.minimum(1.0, chord / 2))
-        k = np.where(a <= reach, weight(a), 0.0)
-        k /= k.sum(axis=1, keepdims=True)
-        d, s = np.nonzero(k > least)
-        dst.append(d + i)
-        src.append(s)
-        w.append(k[d, s])
-    return np.concatenate(dst), np.concatenate(src), np.concatenate(w)
+        own = key[i : i + block]
+        rows, cols = [], []
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):  # cubes one above the other follow each other in the order
+                shift = (dx * n + dy) * n
+                low, high = np.searchsorted(held, own + shift - 1), np.searchsorted(held, own + shift + 1, side="right")
+                size = high - low
+                rows.append(np.repeat(np.arange(len(own)), size))
+                cols.append(order[np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)])
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        a = 2 * np.arcsin(np.minimum(1.0, np.sqrt(((v[i + r] - v[c]) ** 2).sum(axis=1)) / 2))
+        near = a <= reach
+        r, c, a = r[near], c[near], a[near]
+        by = np.lexsort((c, r))
+        counts[i : i + block] = np.bincount(r, minlength=len(own))
+        src.append(c[by].astype(np.int32))
+        angle.append(a[by])
+    return Neighbours(reach, np.concatenate([[0], np.cumsum(counts)]), np.concatenate(src), np.concatenate(angle))
+
+
+_NEAR: dict[tuple, Neighbours] = {}
+
+
+def near_cells(grid: Grid, reach: float, widest: float) -> Neighbours:
+    """The grid's neighbours within reach: measured once in a process, as far as ``widest``, and cut for smaller reaches."""
+    key = (len(grid.cell_id), hash(grid.cell_id.tobytes()), hash(grid.lat.tobytes()), hash(grid.lon.tobytes()))
+    known = _NEAR.get(key)
+    if known is None or known.reach < reach:
+        _NEAR.clear()
+        known = _NEAR[key] = neighbours(grid.lat, grid.lon, max(reach, widest))
+    if known.reach == reach:
+        return known
+    near = known.angle <= reach
+    start = np.concatenate([[0], np.cumsum(near)])[known.start]
+    return Neighbours(reach, start, known.src[near], known.angle[near])
 
 
 class SphereGaussian:
     """A Gaussian of the angle between cell centres, within ``truncate`` deviations; outside the cells there is nothing."""
 
-    def __init__(self, grid: Grid, sigma: float, truncate: float = 4.0, least: float = 1e-8):
-        self.mask, self.n = grid.mask, len(grid.cell_id)
-        self.dst, self.src, self.w = sphere_kernel(grid, truncate * sigma, lambda a: np.exp(-((a / sigma) ** 2) / 2), least)
+    def __init__(self, grid: Grid, sigma: float, truncate: float = 4.0, least: float = 1e-8, widest: float | None = None):
+        near = near_cells(grid, truncate * sigma, truncate * (widest or sigma))
+        self._set(grid.mask, near, np.exp(-((near.angle / sigma) ** 2) / 2), least)
+
+    def _set(self, mask: np.ndarray, near: Neighbours, w: np.ndarray, least: float) -> None:
+        """Rows normalised, and then without weights of ``least`` or less, but for a cell's own."""
+        w = w / np.repeat(np.add.reduceat(w, near.start[:-1]), np.diff(near.start))
+        held = (w > least) | (near.angle == 0)
+        self.mask, self.src, self.w = mask, near.src[held], w[held]
+        self.start = np.concatenate([[0], np.cumsum(held)])[near.start]
 
     def predict(self, p: np.ndarray, mask: bool = True) -> np.ndarray:
-        out = np.bincount(self.dst, weights=self.w * p[self.src], minlength=self.n)
+        out = np.add.reduceat(self.w * p[self.src], self.start[:-1])
         return np.where(self.mask, out, 0.0) if mask else out
 
 
 class SphereStencil(SphereGaussian):
     """The stencil variant: exp(-r^2 / s^2) with r in cells and s = sigma * nside / sqrt(pi), 16 cells either way; no mask."""
 
-    def __init__(self, grid: Grid, sigma: float, level: int, half: int = 16):
+    def __init__(self, grid: Grid, sigma: float, level: int, half: int = 16, widest: float | None = None):
         side = math.sqrt(4 * math.pi / (12 * 4**level))
         s = sigma * 2**level / math.sqrt(math.pi)
-        self.mask, self.n = np.ones(len(grid.cell_id), dtype=bool), len(grid.cell_id)
-        self.dst, self.src, self.w = sphere_kernel(grid, (half + 0.5) * side, lambda a: np.exp(-((a / side) ** 2) / s**2), 0.0)
+        near = near_cells(grid, (half + 0.5) * side, (half + 0.5) * side)
+        self._set(np.ones(len(grid.cell_id), dtype=bool), near, np.exp(-((near.angle / side) ** 2) / s**2), 0.0)
 
 
 PREDICTORS = {"planar": PlanarGaussian, "sphere": SphereGaussian, "stencil": SphereStencil}
@@ -129,8 +178,10 @@ class Predictor:
         if self.kind not in PREDICTORS:
             raise ValueError(f"unknown predictor: {self.kind}")
 
-    def build(self, grid: Grid, sigma: float):
-        return PREDICTORS[self.kind](grid, sigma, **self.settings)
+    def build(self, grid: Grid, sigma: float, widest: float | None = None):
+        """The kernel of a sigma; ``widest`` is the largest one that the caller will ask for."""
+        more = {"widest": widest} if self.kind != "planar" else {}
+        return PREDICTORS[self.kind](grid, sigma, **self.settings, **more)
 
 
 # one tag
@@ -143,7 +194,7 @@ def tag_score(e: np.ndarray, initial: np.ndarray, kernel) -> float:
         updated = kernel.predict(state) * e[t]
         total = float(updated.sum())
         if total == 0:
-            warnings.warn(f"Empty product of the prediction with the true distribution at step {t + 1}.", RuntimeWarning, stacklevel=2)
+            warnings.warn(f"step {t + 1}: nothing of the prediction is left by its emission", RuntimeWarning, stacklevel=2)
             return NO_SCORE
         z.append(total)
         state = updated / total
@@ -254,6 +305,24 @@ def tag_viterbi(e: np.ndarray, initial: np.ndarray, mask: np.ndarray, shape: tup
     return np.array(path[::-1])
 
 
+def tag_viterbi_sparse(e: np.ndarray, initial: np.ndarray, kernel: SphereGaussian) -> np.ndarray:
+    """Places of the most probable path by a kernel with lists of neighbours; of equally good predecessors the first cell wins."""
+    with np.errstate(divide="ignore"):
+        step, log_e = np.log(kernel.w), np.log(np.concatenate([initial[None], e[1:]]))
+    metric, came = log_e[0], np.zeros(e.shape, dtype=np.int32)
+    first, size, k = kernel.start[:-1], np.diff(kernel.start), np.arange(len(kernel.src))
+    for t in range(1, len(e)):
+        value = metric[kernel.src] + step
+        best = np.maximum.reduceat(value, first)
+        at = np.minimum.reduceat(np.where(value == np.repeat(best, size), k, len(k)), first)
+        came[t] = kernel.src[np.minimum(at, len(k) - 1)]
+        metric = np.where(kernel.mask, best + log_e[t], -np.inf)
+    path = [int(metric.argmax())]
+    for t in range(len(e) - 1, 0, -1):
+        path.append(int(came[t, path[-1]]))
+    return np.array(path[::-1])
+
+
 # all tags
 
 
@@ -280,16 +349,17 @@ def _tag_type(df: DataFrame) -> tuple[str, str]:
 
 
 def score(emission: DataFrame, initial: DataFrame, grid: DataFrame, predictor: Predictor, sigmas: list[float]) -> DataFrame:
-    """(tag_id, sigma, score) for every tag and sigma, each in a task of its own."""
+    """(tag_id, sigma, score) for every tag and sigma; a tag's emission is sent once, and its task goes through the sigmas."""
     own = Grid.collect(grid)
     tag, _ = _tag_type(emission)
+    each = [float(s) for s in sigmas]
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, e, first = _arrays(part, own)
-        return pd.DataFrame({"tag_id": [key[0]], "sigma": [key[1]], "score": [tag_score(e, first, predictor.build(own, key[1]))]})
+        made = [tag_score(e, first, predictor.build(own, s, max(each))) for s in each]
+        return pd.DataFrame({"tag_id": [key[0]] * len(each), "sigma": each, "score": made})
 
-    every = _joined(emission, initial).withColumn("sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
-    return every.groupBy("tag_id", "sigma").applyInPandas(one, f"tag_id {tag}, sigma double, score double")
+    return _joined(emission, initial).groupBy("tag_id").applyInPandas(one, f"tag_id {tag}, sigma double, score double")
 
 
 def smooth(emission: DataFrame, initial: DataFrame, grid: DataFrame, predictor: Predictor, sigma: float | None = None, fitted: DataFrame | None = None, forward_only: bool = False) -> DataFrame:
@@ -321,55 +391,194 @@ def fit(emission: DataFrame, initial: DataFrame, grid: DataFrame, predictor: Pre
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, e, first = _arrays(part, own)
-        x, fx, n = minimise(lambda s: tag_score(e, first, predictor.build(own, s)), *map(float, bounds), tolerance=tolerance, start=start)
+        x, fx, n = minimise(lambda s: tag_score(e, first, predictor.build(own, s, float(bounds[1]))), *map(float, bounds), tolerance=tolerance, start=start)
         return pd.DataFrame({"tag_id": [key[0]], "sigma": [x], "score": [fx], "evaluations": [n]})
 
     return _joined(emission, initial).groupBy("tag_id").applyInPandas(one, f"tag_id {tag}, sigma double, score double, evaluations int")
 
 
-def viterbi(emission: DataFrame, initial: DataFrame, grid: DataFrame, sigma: float, variant: str = "rows") -> DataFrame:
-    """(tag_id, time, cell_id): the most probable path on a full x, y grid.
+def viterbi(
+    emission: DataFrame, initial: DataFrame, grid: DataFrame, sigma: float | None = None, variant: str = "rows",
+    predictor: Predictor | None = None, fitted: DataFrame | None = None,
+) -> DataFrame:
+    """(tag_id, time, cell_id): the most probable path, by one sigma or by ``fitted`` (tag_id, sigma).
 
-    ``rows``: a continuous kernel and rows first in ties; ``columns``: a discrete kernel and columns first.
+    On a full x, y grid ``rows`` is a continuous kernel and rows first in ties, ``columns`` a discrete kernel and columns
+    first.  With a spherical predictor the path goes by the predictor's own kernel, the first cell first in ties.
     """
     if variant not in ("rows", "columns"):
         raise ValueError(f"unknown variant: {variant}")
     own = Grid.collect(grid)
     tag, time = _tag_type(emission)
-    order = np.lexsort((own.y, own.x))
-    shape = (len(np.unique(own.x)), len(np.unique(own.y)))
-    if shape[0] * shape[1] != len(order):
-        raise ValueError("the grid is not a full rectangle")
+    sphere = predictor is not None and predictor.kind != "planar"
+    if not sphere:
+        order = np.lexsort((own.y, own.x))
+        shape = (len(np.unique(own.x)), len(np.unique(own.y)))
+        if shape[0] * shape[1] != len(order):
+            raise ValueError("the grid is not a full rectangle")
+    rows = _joined(emission, initial)
+    rows = rows.withColumn("sigma", F.lit(float(sigma))) if fitted is None else rows.join(fitted.select("tag_id", "sigma"), "tag_id")
+    kind = "continuous" if variant == "rows" else "discrete"
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         times, e, first = _arrays(part, own)
-        path = tag_viterbi(e[:, order], first[order], own.mask[order], shape, sigma, "continuous" if variant == "rows" else "discrete", variant == "columns")
-        return pd.DataFrame({"tag_id": key[0], "time": times, "cell_id": own.cell_id[order][path]})
+        s = float(part["sigma"].iloc[0])
+        if sphere:
+            cells = own.cell_id[tag_viterbi_sparse(e, first, predictor.build(own, s))]
+        else:
+            cells = own.cell_id[order][tag_viterbi(e[:, order], first[order], own.mask[order], shape, s, kind, variant == "columns")]
+        return pd.DataFrame({"tag_id": key[0], "time": times, "cell_id": cells})
 
-    return _joined(emission, initial).groupBy("tag_id").applyInPandas(one, f"tag_id {tag}, time {time}, cell_id bigint")
+    return rows.groupBy("tag_id").applyInPandas(one, f"tag_id {tag}, time {time}, cell_id bigint")
 
 
-def forward_distributed(emission: DataFrame, initial: DataFrame, kernel: DataFrame, mask: DataFrame, folder: str) -> DataFrame:
-    """(tag_id, time, cell_id, states) of the forward pass, each step a join with kernel (src, dst, w), parallel over cells.
+@dataclass(frozen=True)
+class Spread:
+    """The model for fields larger than a task: a step is a join with the kernel, parallel over cells and over tags.
 
-    Steps are written under ``folder``, so a lost executor costs one step.  For fields too large for a task.
+    kernel is (src, dst, w), ``sphere_kernel_table`` or another; mask is (cell_id, mask).  Steps are numbered within a
+    tag, so all tags take their k-th step together, and the driver holds the number of steps alone.  Each step is written
+    under ``folder``, so a lost executor costs one step.  Missing densities count as 0.
     """
+
+    emission: DataFrame
+    initial: DataFrame
+    kernel: DataFrame
+    mask: DataFrame
+    folder: str
+
+    def _steps(self) -> tuple[DataFrame, DataFrame, int]:
+        """Emission with its tag's step number, the numbered times, and the largest number."""
+        spark, at = self.emission.sparkSession, f"{self.folder}/steps"
+        w = Window.partitionBy("tag_id").orderBy("time")
+        self.emission.select("tag_id", "time").distinct().withColumn("k", F.row_number().over(w) - 1).write.mode("overwrite").parquet(f"{at}-times")
+        times = spark.read.parquet(f"{at}-times")
+        self.emission.select("tag_id", "time", "cell_id", "pdf").join(times, ["tag_id", "time"]).write.mode("overwrite").partitionBy("k").parquet(at)
+        last = times.agg(F.max("k")).first()[0]
+        return spark.read.parquet(at), times, -1 if last is None else last
+
+    def _moved(self, field: DataFrame, value: str, turned: bool = False) -> DataFrame:
+        """(tag_id, cell_id, moved): a field after one step of the kernel."""
+        to, of = ("src", "dst") if turned else ("dst", "src")
+        joined = field.withColumnRenamed("cell_id", of).join(self.kernel, of)
+        return joined.groupBy("tag_id", F.col(to).alias("cell_id")).agg(F.sum(F.col("w") * F.col(value)).alias("moved"))
+
+    def forward(self) -> DataFrame:
+        """(tag_id, k, time, cell_id, predictions, states, z) of the forward pass; z is a step's normaliser."""
+        spark = self.emission.sparkSession
+        root = f"{self.folder}/forward-{uuid.uuid4().hex}"
+        steps, times, last = self._steps()
+        inside = self.mask.filter("mask").select("cell_id")
+        start = steps.filter("k = 0").join(self.initial.select("tag_id", "cell_id", "p"), ["tag_id", "cell_id"], "right")
+        z = start.groupBy("tag_id").agg(F.sum(F.coalesce("pdf", F.lit(0.0)) * F.col("p")).alias("z"))
+        first = start.select("tag_id", "cell_id", "p").join(z, "tag_id").join(times.filter("k = 0").select("tag_id", "time"), "tag_id")
+        state = first.select("tag_id", F.lit(0).alias("k"), "time", "cell_id", F.col("p").alias("predictions"), F.col("p").alias("states"), "z")
+        state.filter("states > 0").write.mode("overwrite").parquet(f"{root}/0")
+        for k in range(1, last + 1):
+            state = spark.read.parquet(f"{root}/{k - 1}").filter("states > 0").select("tag_id", "cell_id", "states")
+            now = steps.filter(F.col("k") == k).select("tag_id", "time", "cell_id", "pdf")
+            moved = self._moved(state, "states").join(inside, "cell_id", "left_semi").join(now, ["tag_id", "cell_id"])
+            each = moved.withColumn("u", F.col("moved") * F.coalesce("pdf", F.lit(0.0)))
+            made = each.withColumn("z", F.sum("u").over(Window.partitionBy("tag_id")))
+            out = made.select("tag_id", F.lit(k).alias("k"), "time", "cell_id", F.col("moved").alias("predictions"), F.try_divide("u", "z").alias("states"), "z")
+            out.write.mode("overwrite").parquet(f"{root}/{k}")
+        return spark.read.parquet(*[f"{root}/{k}" for k in range(last + 1)]) if last >= 0 else state
+
+    def score(self) -> DataFrame:
+        """(tag_id, score): minus the log likelihood; NO_SCORE where a step is left with nothing."""
+        steps = self.emission.select("tag_id", "time").distinct().groupBy("tag_id").agg(F.count("*").alias("n"))
+        z = self.forward().select("tag_id", "k", "z").distinct().filter("z > 0").groupBy("tag_id").agg(F.count("*").alias("m"), (-F.sum(F.log("z"))).alias("s"))
+        return steps.join(z, "tag_id", "left").select("tag_id", F.when(F.col("m") == F.col("n"), F.col("s")).otherwise(NO_SCORE).alias("score"))
+
+    def smooth(self) -> DataFrame:
+        """(tag_id, time, cell_id, states): smoothed states above 0; the backward step moves without the mask."""
+        spark = self.emission.sparkSession
+        ahead, root = self.forward(), f"{self.folder}/backward-{uuid.uuid4().hex}"
+        ahead.write.mode("overwrite").partitionBy("k").parquet(f"{root}/ahead")
+        ahead = spark.read.parquet(f"{root}/ahead")
+        ends = ahead.groupBy("tag_id").agg(F.max("k").alias("end"))
+        top = ends.agg(F.max("end")).first()[0]
+        for k in range(-1 if top is None else top, -1, -1):
+            own = ahead.filter(F.col("k") == k)
+            out = own.join(ends.filter(F.col("end") == k), "tag_id", "left_semi").select("tag_id", "time", "cell_id", "states")
+            if k < top:
+                later = spark.read.parquet(f"{root}/{k + 1}").select("tag_id", "cell_id", "states")
+                ratio = later.join(ahead.filter(F.col("k") == k + 1).select("tag_id", "cell_id", "predictions"), ["tag_id", "cell_id"])
+                ratio = ratio.select("tag_id", "cell_id", (F.col("states") / (F.col("predictions") + EPS)).alias("r"))
+                each = own.select("tag_id", "time", "cell_id", "states").join(self._moved(ratio, "r"), ["tag_id", "cell_id"])
+                each = each.withColumn("u", F.col("moved") * F.col("states"))
+                total = F.sum("u").over(Window.partitionBy("tag_id"))
+                out = out.unionByName(each.select("tag_id", "time", "cell_id", F.try_divide(F.col("u"), total).alias("states")))
+            out.filter("states > 0").write.mode("overwrite").parquet(f"{root}/{k}")
+        return spark.read.parquet(*[f"{root}/{k}" for k in range(top + 1)]) if top is not None else ahead.select("tag_id", "time", "cell_id", "states")
+
+    def viterbi(self) -> DataFrame:
+        """(tag_id, time, cell_id): the most probable path; of equally good predecessors and ends the smallest cell."""
+        spark, root = self.emission.sparkSession, f"{self.folder}/paths-{uuid.uuid4().hex}"
+        steps, times, last = self._steps()
+        inside = self.mask.filter("mask").select("cell_id")
+        log = self.kernel.select("src", "dst", F.log("w").alias("w"))
+        none = F.lit(None).cast("long").alias("came")
+        self.initial.filter("p > 0").select("tag_id", "cell_id", F.log("p").alias("m"), none).write.mode("overwrite").parquet(f"{root}/0")
+        best = lambda cell: F.min(F.struct((-F.col("v")).alias("v"), cell.alias("cell"))).alias("b")
+        for k in range(1, last + 1):
+            now = steps.filter(F.col("k") == k).filter("pdf > 0").select("tag_id", "cell_id", F.log("pdf").alias("e"))
+            reach = spark.read.parquet(f"{root}/{k - 1}").withColumnRenamed("cell_id", "src").join(log, "src").withColumn("v", F.col("m") + F.col("w"))
+            took = reach.groupBy("tag_id", F.col("dst").alias("cell_id")).agg(best(F.col("src"))).join(inside, "cell_id", "left_semi")
+            made = took.join(now, ["tag_id", "cell_id"]).select("tag_id", "cell_id", (F.col("e") - F.col("b.v")).alias("m"), F.col("b.cell").alias("came"))
+            made.write.mode("overwrite").parquet(f"{root}/{k}")
+        ends = times.groupBy("tag_id").agg(F.max("k").alias("end"))
+        path = None
+        for k in range(last, -1, -1):
+            here = spark.read.parquet(f"{root}/{k}")
+            closing = here.join(ends.filter(F.col("end") == k), "tag_id").withColumn("v", F.col("m")).groupBy("tag_id").agg(best(F.col("cell_id")))
+            at = closing.select("tag_id", F.col("b.cell").alias("cell_id"))
+            if path is not None:
+                at = at.unionByName(path.filter("came is not null").select("tag_id", F.col("came").alias("cell_id")))
+            at.join(here.select("tag_id", "cell_id", "came"), ["tag_id", "cell_id"]).withColumn("k", F.lit(k)).write.mode("overwrite").parquet(f"{root}/at-{k}")
+            path = spark.read.parquet(f"{root}/at-{k}")
+        if path is None:
+            return self.emission.select("tag_id", "time", "cell_id").limit(0)
+        whole = spark.read.parquet(*[f"{root}/at-{k}" for k in range(last + 1)])
+        return whole.join(times, ["tag_id", "k"]).select("tag_id", "time", "cell_id")
+
+
+def sphere_kernel_table(grid: DataFrame, sigma: float, truncate: float = 4.0, least: float = 1e-8) -> DataFrame:
+    """(src, dst, w) of the spherical Gaussian between cells (cell_id, lat, lon): an equi-join on cubes as wide as its reach."""
+    reach = truncate * sigma
+    side = 2 * math.sin(min(reach, math.pi) / 2) * (1 + 1e-9)
+    y, x = F.radians("lat"), F.radians("lon")
+    v = [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
+    own = grid.select("cell_id", "lat", "lon", *[F.floor(c / side).alias(n) for c, n in zip(v, "ijk", strict=True)])
+    around = F.array(*[F.struct(*[F.lit(d).cast("long").alias(n) for d, n in zip((a, b, c), "ijk", strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    spread = own.withColumn("o", F.explode(around)).select(F.col("cell_id").alias("dst"), F.col("lat").alias("la"), F.col("lon").alias("lo"), *[(F.col(n) + F.col(f"o.{n}")).alias(n) for n in "ijk"])
+    far = angle(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo"))
+    pairs = spread.join(own, ["i", "j", "k"]).select(F.col("cell_id").alias("src"), "dst", F.when(F.col("cell_id") == F.col("dst"), 0.0).otherwise(far).alias("a"))
+    raw = pairs.filter(F.col("a") <= reach).withColumn("w", F.exp(-F.pow(F.col("a") / sigma, 2) / 2))
+    total = F.sum("w").over(Window.partitionBy("dst"))
+    return raw.select("src", "dst", (F.col("w") / total).alias("w")).filter((F.col("w") > least) | (F.col("src") == F.col("dst")))
+
+
+def fit_distributed(emission: DataFrame, initial: DataFrame, grid: DataFrame, folder: str, bounds: tuple[float, float], tolerance: float = 1e-6, truncate: float = 4.0, start: float | None = None) -> DataFrame:
+    """(tag_id, sigma, score, evaluations) for fields larger than a task: tags one after another, each evaluation over all executors."""
     spark = emission.sparkSession
-    root = f"{folder}/forward-{uuid.uuid4().hex}"
-    inside = mask.filter("mask").select("cell_id")
-    times = [r["time"] for r in emission.select("time").distinct().orderBy("time").collect()]
-    first = emission.groupBy("tag_id").agg(F.min("time").alias("time"))
-    for k, t in enumerate(times):
-        starts = initial.join(first.filter(F.col("time") == t), "tag_id").select("tag_id", "time", "cell_id", F.col("p").alias("states"))
-        if k:
-            state = spark.read.parquet(f"{root}/{k - 1}")
-            now = emission.filter(F.col("time") == t).select("tag_id", "time", "cell_id", "pdf")
-            moved = state.withColumnRenamed("cell_id", "src").join(kernel, "src").groupBy("tag_id", F.col("dst").alias("cell_id")).agg(F.sum(F.col("w") * F.col("states")).alias("moved"))
-            updated = moved.join(inside, "cell_id", "left_semi").join(now, ["tag_id", "cell_id"]).withColumn("u", F.col("moved") * F.coalesce("pdf", F.lit(0.0)))
-            total = updated.groupBy("tag_id").agg(F.sum("u").alias("z"))
-            starts = starts.unionByName(updated.join(total, "tag_id").select("tag_id", "time", "cell_id", F.try_divide("u", "z").alias("states")))
-        starts.filter("states > 0").write.mode("overwrite").parquet(f"{root}/{k}")
-    return spark.read.parquet(*[f"{root}/{k}" for k in range(len(times))])
+    mask = grid.select("cell_id", F.coalesce("mask", F.lit(False)).alias("mask") if "mask" in grid.columns else F.lit(True).alias("mask"))
+    rows = []
+    for (tag,) in initial.select("tag_id").distinct().orderBy("tag_id").collect():
+        own = [t.filter(F.col("tag_id") == tag) for t in (emission, initial)]
+
+        def value(sigma: float) -> float:
+            sphere_kernel_table(grid, sigma, truncate).write.mode("overwrite").parquet(f"{folder}/kernel")
+            found = Spread(*own, spark.read.parquet(f"{folder}/kernel"), mask, folder).score().first()
+            return NO_SCORE if found is None else found["score"]
+
+        rows.append((tag, *minimise(value, *map(float, bounds), tolerance=tolerance, start=start)))
+    return spark.createDataFrame(rows, f"tag_id {_tag_type(emission)[0]}, sigma double, score double, evaluations int")
+
+
+def forward_distributed(emission: DataFrame, initial: DataFrame, kernel: DataFrame, mask: DataFrame, folder: str) -> DataFrame:
+    """(tag_id, time, cell_id, states) of the forward pass, for fields too large for a task."""
+    return Spread(emission, initial, kernel, mask, folder).forward().filter("states > 0").select("tag_id", "time", "cell_id", "states")
 
 
 @dataclass(frozen=True)
@@ -387,7 +596,7 @@ class Model:
 
     def _sigma(self) -> float:
         if self.sigma is None:
-            raise ValueError("unset sigma, cannot run the filter")
+            raise ValueError("the model has no sigma yet")
         return self.sigma
 
     def score(self, emission: DataFrame, initial: DataFrame, grid: DataFrame) -> DataFrame:
@@ -409,7 +618,7 @@ class Model:
         from driftmark.operators.tracks import additional_quantities, mean_track, modal_track
 
         if mode in ("viterbi", "viterbi2"):
-            path = viterbi(emission, initial, grid, self._sigma(), "rows" if mode == "viterbi" else "columns")
+            path = viterbi(emission, initial, grid, self._sigma(), "rows" if mode == "viterbi" else "columns", self.predictor)
             track = path.join(grid.select("cell_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude")), "cell_id").drop("cell_id")
         elif mode in ("mean", "mode"):
             states = states if states is not None else self.predict_proba(emission, initial, grid)

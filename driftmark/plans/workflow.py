@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.functions.healpix import place_to_cell, resolution
+from driftmark.functions.healpix import cells_in_box, resolution
 from driftmark.functions.units import max_sigma
 from driftmark.operators import acoustic, diff, emission, movement, tracks
 from driftmark.operators.align import adapt_model_time, bin_observations
@@ -35,7 +35,7 @@ class Settings:
     speed: str = "60 km / day"
     adjustment: float = 5.0
     truncate: float = 4.0
-    level: int = 6
+    level: int = 12
     tolerance: float = 1e-6
     predictor: movement.Predictor = field(default_factory=movement.Predictor)
 
@@ -44,12 +44,11 @@ class Settings:
 
 
 def healpix_grid(places: DataFrame, level: int) -> DataFrame:
-    """(cell_id, lat, lon) of the cells that hold some of the places (lat, lon)."""
-    from driftmark.functions.healpix import cell_to_place
-
-    cells = places.select(place_to_cell(level, F.col("lat"), F.col("lon")).alias("cell_id")).distinct()
-    lat, lon = cell_to_place(level, F.col("cell_id"))
-    return cells.select("cell_id", lat.alias("lat"), lon.alias("lon"))
+    """(cell_id, lat, lon) of all cells whose centre is in the box that the places (lat, lon) span, finer than the places or not."""
+    box = places.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if box[0] is None:
+        raise ValueError("the model has no places")
+    return cells_in_box(places.sparkSession, level, (box[0], box[1]), (box[2], box[3]))
 
 
 def bins_of(slices: DataFrame, settings: Settings) -> DataFrame:
@@ -74,7 +73,7 @@ def prepare(spark: SparkSession, tags: Tags, slices: DataFrame, model: DataFrame
     numbered = differences.select("tag_id", "time", "diff", F.col("ocean_mask").cast("double").alias("sea"), F.round((F.col("lat") - lat0) / step).cast("long").alias("i"), F.round((F.col("lon") - lon0) / step).cast("long").alias("j"))
     store.save(regrid(numbered, bilinear_weights(grid, lat0, lon0, step), ["diff", "sea"], ["tag_id", "time"]), f"{root}/diff-regridded")
     regridded = store.open_table(spark, f"{root}/diff-regridded").withColumn("ocean_mask", F.col("sea") > 0)
-    made = emission.compute_emission_pdf(regridded, grid, tags.events, settings.differences_std, settings.initial_std, settings.recapture_std)
+    made = emission.compute_emission_pdf(regridded, grid, tags.events, settings.differences_std, settings.initial_std, settings.recapture_std, level=settings.level)
     grid = grid.join(made["mask"], "cell_id", "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
     layers, names = made["emission"].select("tag_id", "time", "cell_id", "pdf"), ["pdf"]
     if tags.acoustic is not None and tags.stations is not None:
@@ -82,7 +81,8 @@ def prepare(spark: SparkSession, tags: Tags, slices: DataFrame, model: DataFrame
         bins = bins_of(slices, settings)
         heard = acoustic.acoustic_pdf(tags.acoustic, tags.stations.drop("tag_id").dropDuplicates(["deployment_id"]), grid, bins, settings.step, settings.origin, settings.buffer, settings.nondetections)
         store.save(heard, f"{root}/acoustic")
-        layers = emission.combine_with_acoustic(layers, store.open_table(spark, f"{root}/acoustic")).withColumn("acoustic", F.coalesce("acoustic", F.lit(1.0)))
+        heard = store.open_table(spark, f"{root}/acoustic")
+        layers = emission.without_acoustic(emission.combine_with_acoustic(layers, heard), heard)
         names = ["pdf", "acoustic"]
     combined = emission.combine(layers, names, made["final"])
     for name, table in (("combined", combined), ("initial", made["initial"]), ("grid", grid)):
@@ -91,10 +91,11 @@ def prepare(spark: SparkSession, tags: Tags, slices: DataFrame, model: DataFrame
 
 
 def estimate(spark: SparkSession, root: str, settings: Settings) -> DataFrame:
-    """Fit every tag's sigma and write them with the predictor's settings."""
+    """Fit every tag's sigma and write them with the predictor's settings; an error where one lies on its upper bound."""
     tables = [store.open_table(spark, f"{root}/{n}") for n in ("combined", "initial", "grid")]
-    fits = movement.fit(*tables, settings.predictor, (1e-4 if settings.upper_bound() > 1e-4 else 1e-6, settings.upper_bound()), settings.tolerance)
-    store.save_fits(fits, root)
+    bounds = (1e-4 if settings.upper_bound() > 1e-4 else 1e-6, settings.upper_bound())
+    store.save_fits(movement.fit(*tables, settings.predictor, bounds, settings.tolerance), root)
+    diff.require_below(spark.read.json(f"{root}/fits"), bounds[1], 2 * settings.tolerance)
     store.save_parameters(spark, root, {"predictor": {"kind": settings.predictor.kind, "settings": settings.predictor.settings}, "comment": f"fitted on cells of {resolution(settings.level):.3g} rad"})
     return spark.read.json(f"{root}/fits")
 
@@ -105,7 +106,13 @@ def decode(spark: SparkSession, root: str, modes: tuple[str, ...] = ("mean", "mo
     fits, own = spark.read.json(f"{root}/fits"), store.load_parameters(spark, root)["predictor"]
     store.save(movement.smooth(combined, initial, grid, movement.Predictor(own["kind"], own["settings"]), fitted=fits), f"{root}/states")
     states = store.open_table(spark, f"{root}/states")
-    made = {"mean": lambda: tracks.mean_track(states, grid), "mode": lambda: tracks.modal_track(states, grid).drop("cell_id")}
+    predictor = movement.Predictor(own["kind"], own["settings"])
+
+    def best() -> DataFrame:
+        path = movement.viterbi(combined, initial, grid, fitted=fits, predictor=predictor)
+        return path.join(grid.select("cell_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude")), "cell_id").drop("cell_id")
+
+    made = {"mean": lambda: tracks.mean_track(states, grid), "mode": lambda: tracks.modal_track(states, grid).drop("cell_id"), "viterbi": best}
     out = None
     for mode in modes:
         if mode not in made:

@@ -157,12 +157,12 @@ def sea_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_discount = 0.05 and l_quantity = 10").select(F.col("l_returnflag").alias("tag_id"), F.col("l_shipdate").cast("timestamp").alias("time"), F.col("l_suppkey").alias("deployment_id"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tag_id"), F.col("l_shipdate").cast("timestamp").alias("time"), F.col("l_suppkey").alias("deployment_id"))
 
 
 QUARTER = timedelta(days=90)
 BINS = "bins AS (SELECT * FROM (SELECT DISTINCT l_returnflag AS tag_id FROM lineitem), (SELECT TIMESTAMP '1998-01-01' + to_days(CAST(90 * unnest(range(20)) AS INTEGER)) AS time))"
-DET = "det AS (SELECT l_returnflag AS tag_id, l_shipdate AS time, l_suppkey AS deployment_id FROM lineitem WHERE l_discount = 0.05 AND l_quantity = 10)"
+DET = "det AS (SELECT l_returnflag AS tag_id, l_shipdate AS time, l_suppkey AS deployment_id FROM lineitem)"
 COUNTS = f"""{BINS}, {DET},
 cnt AS (SELECT tag_id, deployment_id, TIMESTAMP '1998-01-01' + to_days(CAST(90 * floor((CAST(time AS DATE) - DATE '1998-01-01' - 1) / 90) AS INTEGER)) AS time, count(*) AS c FROM det GROUP BY ALL),
 dense AS (SELECT t.tag_id, t.deployment_id, b.time, coalesce(c.c, 0) AS count FROM (SELECT DISTINCT tag_id, deployment_id FROM det) t JOIN bins b USING (tag_id) LEFT JOIN cnt c ON c.tag_id = t.tag_id AND c.deployment_id = t.deployment_id AND c.time = b.time)"""
@@ -360,23 +360,76 @@ def viterbi_discrete(spark, sf_dir):
     return movement.viterbi(field(spark, sf_dir), starts(spark, sf_dir), square(spark), SIGMA, "columns")
 
 
-@query(f"{FORWARD} {UNPACK.format('f')} AND time <= 4")
-def hmm_forward_distributed(spark, sf_dir):
-    """The variant for fields larger than a task, over the first four steps."""
+def spread(spark: SparkSession, sf_dir: str, name: str) -> movement.Spread:
+    """The model for fields larger than a task, with the planar kernel as a table."""
     line = distributions.gaussian_line(SIGMA)
     half = len(line) // 2
-    a, b = square(spark).select(F.col("cell_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")), square(spark).select(F.col("cell_id").alias("dst"), "x", "y")
+    a = square(spark).select(F.col("cell_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    b = square(spark).select(F.col("cell_id").alias("dst"), "x", "y")
     own = F.array(*[F.lit(float(v)) for v in line])
-    kernel = a.join(b, (F.abs(F.col("x") - F.col("sx")) <= half) & (F.abs(F.col("y") - F.col("sy")) <= half)).select("src", "dst", (F.element_at(own, F.col("x") - F.col("sx") + half + 1) * F.element_at(own, F.col("y") - F.col("sy") + half + 1)).alias("w"))
-    e = field(spark, sf_dir).filter("time <= 4")
-    return movement.forward_distributed(e, starts(spark, sf_dir), kernel, square(spark), shared_folder(spark, "forward")).withColumn("states", F.round("states", 6))
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    near = a.join(b, (F.abs(dx) <= half) & (F.abs(dy) <= half))
+    kernel = near.select("src", "dst", (F.element_at(own, dx + half + 1) * F.element_at(own, dy + half + 1)).alias("w"))
+    return movement.Spread(field(spark, sf_dir), starts(spark, sf_dir), kernel, square(spark), shared_folder(spark, name))
+
+
+@query(f"{FORWARD} {UNPACK.format('f')}")
+def hmm_forward_distributed(spark, sf_dir):
+    """The variant for fields larger than a task."""
+    s = spread(spark, sf_dir, "forward").forward().filter("states > 0")
+    return s.select("tag_id", "time", "cell_id", F.round("states", 6).alias("states"))
+
+
+@query(f"{SMOOTH} {UNPACK.format('b')}")
+def hmm_smooth_distributed(spark, sf_dir):
+    return spread(spark, sf_dir, "smooth").smooth().withColumn("states", F.round("states", 6))
+
+
+def _near_kernel_sql(sigma: float) -> str:
+    """The spherical kernel of the 64 cells, by all pairs."""
+    at = {"a": "40 + (i // 8) * 0.1", "b": "-10 + (i % 8) * 0.1", "c": "40 + (j // 8) * 0.1", "d": "-10 + (j % 8) * 0.1"}
+    far = HAVERSINE.format(**{k: f"({v})" for k, v in at.items()})
+    raw = f"list_transform(range(64), lambda i: list_transform(range(64), lambda j: CASE WHEN {far} <= {4 * sigma!r} THEN exp(-power({far} / {sigma!r}, 2) / 2) ELSE 0.0 END))"
+    return f"k AS (SELECT list_transform(raw, lambda r: list_transform(r, lambda x: x / list_sum(r))) AS m FROM (SELECT {raw} AS raw))"
+
+
+ANGLE = 0.0031
+
+
+@query(SMOOTH.replace(_kernel_sql(SIGMA), _near_kernel_sql(ANGLE)) + UNPACK.format("b"))
+def hmm_smooth_sphere(spark, sf_dir):
+    """The default predictor, by lists of neighbours on the sphere."""
+    s = movement.smooth(field(spark, sf_dir), starts(spark, sf_dir), square(spark), movement.Predictor("sphere"), ANGLE)
+    return s.withColumn("states", F.round("states", 6))
+
 
+@query(f"""WITH p AS (SELECT s_suppkey AS k, 40 + (s_suppkey % 50) / 10 AS lat, -10 + ((s_suppkey * 7) % 80) / 10 AS lon FROM supplier),
+a AS (SELECT s.k AS src, d.k AS dst, {HAVERSINE.format(a="s.lat", b="s.lon", c="d.lat", d="d.lon")} AS a FROM p s, p d),
+r AS (SELECT src, dst, exp(-power(a / 0.011, 2) / 2) AS w FROM a WHERE a <= 0.044)
+SELECT src, dst, round(w / sum(w) OVER (PARTITION BY dst), 9) AS w FROM r""")
+def sphere_kernel(spark, sf_dir):
+    """The spherical kernel as a table, joined by cubes of space."""
+    cells = receivers(spark, sf_dir).select(F.col("deployment_id").alias("cell_id"), F.col("deploy_latitude").alias("lat"), F.col("deploy_longitude").alias("lon"))
+    return movement.sphere_kernel_table(cells, 0.011).withColumn("w", F.round("w", 9))
 
-@query(f"WITH {FIELD}, {LAST} SELECT tag_id, time - 1 AS frame, time, cell_id, round(pdf, 9) AS states FROM e JOIN l USING (tag_id) WHERE (time - 1) % 3 = 0 AND time < t1 AND cell_id % 2 = 0")
+
+@query(f"""WITH {FIELD}, {LAST} SELECT tag_id, (time - 1) // 3 AS frame, time, cell_id, round(40 + (cell_id // 8) * 0.1, 6) AS lat, round(-10 + (cell_id % 8) * 0.1, 6) AS lon, round(pdf, 9) AS states, round(pdf, 9) AS pdf
+FROM e JOIN l USING (tag_id) WHERE (time - 1) % 3 = 0 AND time < t1 AND cell_id % 2 = 0""")
 def movie_frames(spark, sf_dir):
-    s = field(spark, sf_dir).withColumn("states", F.when(F.col("cell_id") % 2 == 0, F.col("pdf")).otherwise(0.0))
-    kept = align.subsample(align.visited_cells(s, ["tag_id"]), 3, ["tag_id"])
-    return kept.select("tag_id", (F.col("time") - 1).alias("frame"), "time", "cell_id", F.round("states", 9).alias("states"))
+    e = field(spark, sf_dir)
+    s = e.select("tag_id", "time", "cell_id", F.when(F.col("cell_id") % 2 == 0, F.col("pdf")).otherwise(0.0).alias("states"))
+    f = tracks.frames(s, e, square(spark), 3).withColumn("frame", F.col("frame").cast("long"))
+    return f.withColumns({c: F.round(c, n) for c, n in (("lat", 6), ("lon", 6), ("states", 9), ("pdf", 9))})
+
+
+@query(f"""WITH {FIELD}, a AS (SELECT *, pdf * CASE WHEN tag_id % 2 = 1 THEN 1.0 WHEN cell_id % 8 < 4 THEN 0.25 END AS x FROM e)
+SELECT tag_id, time, cell_id, round(x / sum(x) OVER (PARTITION BY tag_id, time), 9) + 0.0 AS pdf FROM a""")
+def silent_receivers(spark, sf_dir):
+    """Cells that a silent receiver covers are missing for tags that have an acoustic table; others have no such layer."""
+    e = field(spark, sf_dir)
+    heard = e.filter("tag_id % 2 = 0").select("tag_id", "time", "cell_id", F.when(F.col("cell_id") % 8 < 4, 0.25).alias("acoustic"))
+    layers = emission.without_acoustic(emission.combine_with_acoustic(e, heard), heard)
+    return emission.combine(layers, ["pdf", "acoustic"]).withColumn("pdf", six("pdf", 9))
 
 
 # the positions of the tag log as a track: lat = 40 + k / 10, lon = -10 + value / 100
@@ -418,10 +471,10 @@ def temperature_jumps(spark, sf_dir):
     return align.jumps(observations(spark, sf_dir), "temperature", ["tag_id"]).select("tag_id", "time", align.month(F.col("time")).cast("long").alias("month"), six("difference").alias("difference"), "jump")
 
 
-@query(f"WITH {OBS} SELECT concat('tag-', tag_id) AS traj_id, time, -10 + temperature / 100 AS longitude, 40 + pressure / 10 AS latitude FROM obs WHERE tag_id % 7 = 3")
+@query(f"WITH {OBS} SELECT concat('tag-', tag_id) AS traj_id, time, -10 + temperature / 100 AS longitude, 40 + pressure / 10 AS latitude FROM obs")
 def trajectories_round_trip(spark, sf_dir):
     root = shared_folder(spark, "tracks")
-    t = log_track(spark, sf_dir).filter("tag_id % 7 = 3").withColumn("traj_id", F.concat(F.lit("tag-"), F.col("tag_id")))
+    t = log_track(spark, sf_dir).withColumn("traj_id", F.concat(F.lit("tag-"), F.col("tag_id")))
     store.save_trajectories(t.repartition("traj_id"), root)
     return store.read_trajectories(spark, root).select("traj_id", "time", "longitude", "latitude")
 
@@ -456,6 +509,38 @@ d AS (SELECT k, CASE WHEN abs(z) <= 2 / 3 THEN CASE WHEN jp // {n} = jm // {n} T
 SELECT k, CAST(face * {n * n} + {bits('x')} + 2 * {bits('y')} AS BIGINT) AS cell_id, face, x, y FROM d"""
 
 
+def _centre_sql(source: str, level: int, keep: str) -> str:
+    """(keep, lat, lon): centres of the nested cells of a table with cell_id."""
+    n = 1 << level
+    squeeze = lambda v: f"CAST(list_sum(list_transform(range({level}), lambda b: ((({v}) >> (2 * b)) & 1) << b)) AS BIGINT)"
+    lists = lambda v: "[" + ", ".join(map(str, v)) + "]"
+    return f"""SELECT {keep}, 90 - degrees(acos(z)) AS lat, CASE WHEN l > 180 THEN l - 360 ELSE l END AS lon FROM (
+  SELECT *, CASE WHEN ring < {n} THEN 1 - nr * nr / {3.0 * n * n} WHEN ring > {3 * n} THEN nr * nr / {3.0 * n * n} - 1 ELSE ({2 * n} - ring) * {2 / (3 * n)!r} END AS z,
+    degrees(pi() / 4 * CASE WHEN o < 0 THEN o + 8 * nr ELSE o END / nr) AS l FROM (
+    SELECT *, {lists(healpix.FACE_PHI)}[face + 1] * nr + x - y AS o FROM (
+      SELECT *, CASE WHEN ring < {n} THEN ring WHEN ring > {3 * n} THEN {4 * n} - ring ELSE {n} END AS nr FROM (
+        SELECT *, {lists(healpix.FACE_RING)}[face + 1] * {n} - x - y - 1 AS ring FROM (
+          SELECT *, cell_id // {n * n} AS face, {squeeze(f'cell_id % {n * n}')} AS x, {squeeze(f'(cell_id % {n * n}) >> 1')} AS y FROM {source})))))"""
+
+
+@query(f"SELECT cell_id, round(lat, 9) + 0.0 AS lat, round(lon, 9) + 0.0 AS lon FROM ({_centre_sql('(SELECT unnest(range(196608)) AS cell_id)', 7, 'cell_id')}) WHERE lat BETWEEN 46 AND 51 AND lon BETWEEN -8 AND -1")
+def regrid_cells(spark, sf_dir):
+    """All cells of a box, at a level that is finer than the coarse one they are looked for at."""
+    return healpix.cells_in_box(spark, 7, (46.0, 51.0), (-8.0, -1.0)).select("cell_id", six("lat", 9).alias("lat"), six("lon", 9).alias("lon"))
+
+
+@query(f"WITH h AS ({_healpix_sql()}) SELECT k, round(lat, 9) + 0.0 AS lat, round(lon, 9) + 0.0 AS lon FROM ({_centre_sql('h', LEVEL, 'k')})")
+def snapped_places(spark, sf_dir):
+    lat, lon = healpix.snapped(LEVEL, F.col("lat"), F.col("lon"))
+    return places(spark, sf_dir).select("k", six(lat, 9).alias("lat"), six(lon, 9).alias("lon"))
+
+
+@query(f"WITH {PLACES}, a AS (SELECT k, radians(90.0 - lat) AS t, radians(-lon) AS p FROM pl) SELECT k, round(sin(t) * cos(p), 9) + 0.0 AS x, round(sin(t) * sin(p), 9) + 0.0 AS y, round(cos(t), 9) + 0.0 AS z FROM a")
+def cartesian(spark, sf_dir):
+    theta, phi = geodesy.colatitude(F.col("lat"), F.col("lon"))
+    return places(spark, sf_dir).withColumn("v", geodesy.cartesian(theta, phi)).select("k", *[six(f"v.{c}", 9).alias(c) for c in "xyz"])
+
+
 @query(_healpix_sql())
 def healpix_cells(spark, sf_dir):
     p = places(spark, sf_dir).withColumn("cell_id", healpix.place_to_cell(LEVEL, F.col("lat"), F.col("lon")))
@@ -511,10 +596,14 @@ def sparse_matmul(spark, sf_dir):
     return regrid.apply_sparse(field(spark, sf_dir), w, "pdf", ["tag_id", "time"]).withColumn("pdf", F.round("pdf", 6))
 
 
-@query(f"WITH {PLACES} SELECT k, CASE WHEN k = (SELECT arg_min(k, struct_pack(d := power(lon - 3, 2) + power(lat - 4, 2), a := lon, b := lat)) FROM pl WHERE k < 720) THEN 1.0 ELSE 0.0 END AS p FROM pl WHERE k < 720")
+@query(f"WITH {PLACES} SELECT k, CASE WHEN k = (SELECT arg_min(k, struct_pack(d := power(lon - 3, 2) + power(lat - 4, 2), a := lon, b := lat, k := k)) FROM pl) THEN 1.0 ELSE 0.0 END AS p FROM pl")
 def delta(spark, sf_dir):
-    p = places(spark, sf_dir).select("k", F.col("lon").alias("x"), F.col("lat").alias("y")).filter("k < 720")
-    return regrid.delta_at(p, (3.0, 4.0)).select("k", "p")
+    """Several customers may stand at one place; the first of them is the cell."""
+    at = places(spark, sf_dir).select("k", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    cells = at.groupBy("x", "y").agg(F.min("k").alias("k"))
+    one = regrid.delta_at(cells, (3.0, 4.0)).filter("p = 1").select("k", "p")
+    return at.join(one, "k", "left").select("k", F.coalesce("p", F.lit(0.0)).alias("p"))
+
 
 
 SIZE, NB = 16.0, 20

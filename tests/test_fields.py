@@ -69,8 +69,63 @@ def test_empty_times_and_bounds(spark):
     e = fields(spark, [("a", 0, 0, None), ("a", 1, 0, 0.2)])
     with pytest.raises(ValueError, match="1 time steps"):
         diff.require_no_empty_times(e, "pdf", ["tag_id", "time"])
-    with pytest.raises(ValueError):
-        diff.require_below(0.5, 0.5)
+    fits = spark.createDataFrame([("a", 0.4999), ("b", 0.1)], "tag_id string, sigma double")
+    diff.require_below(fits, 0.6, 1e-3)
+    with pytest.raises(ValueError, match="'a'"):
+        diff.require_below(fits, 0.5, 1e-3)
+
+
+def test_differences_against_brute_force():
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(60):
+        d, p = rng.integers(0, 9, rng.integers(1, 8)).astype(float), rng.integers(0, 20, rng.integers(1, 6)) / 2
+        t, x = rng.random(len(d)), rng.random(len(p))
+        d[rng.random(len(d)) < 0.1], x[rng.random(len(x)) < 0.1] = np.nan, np.nan
+        rows.append((d, t, p, x))
+    rows += [(np.array([1.0]), np.array([2.0]), np.array([]), np.array([])), (None, None, np.array([1.0]), np.array([1.0]))] + rows[:3]
+
+    def brute(d, t, p, x):
+        if d is None:
+            return None
+        levels = [(a, b) for a, b in zip(d, t, strict=True) if a == a and b == b]
+        each = [v - min(levels, key=lambda level: abs(level[0] - q))[1] for q, v in zip(p, x, strict=True) if v == v] if levels else []
+        return sum(each) / len(each) if each else None
+
+    got = diff.mean_differences(*map(list, zip(*rows, strict=True)))
+    assert got == [None if w is None else pytest.approx(w, abs=1e-8) for w in (brute(*r) for r in rows)]
+
+
+def test_silent_receivers_keep_tags_away(spark):
+    """Of ten cells the one that an active receiver covers is no place for a tag that it didn't hear."""
+    grid = spark.createDataFrame([(c, 40.0 + c, 0.0, True) for c in range(10)], "cell_id long, lat double, lon double, mask boolean")
+    st = spark.createDataFrame([(1, 40.0, 0.0, T0, T0 + timedelta(days=9)), (2, 0.0, 0.0, T0, T0 + timedelta(days=9))], "deployment_id long, deploy_latitude double, deploy_longitude double, deploy_time timestamp, recover_time timestamp")
+    hour = timedelta(hours=1)
+    bins = spark.createDataFrame([("a", T0 + hour, T0 + hour, T0 + 2 * hour)], "tag_id string, time timestamp, bin_start timestamp, bin_end timestamp")
+    heard = acoustic.acoustic_pdf(spark.createDataFrame([("a", T0 + timedelta(days=5), 2)], "tag_id string, time timestamp, deployment_id long"), st, grid, bins, hour, T0, 1000.0)
+    e = spark.createDataFrame([(tag, T0 + hour, c, 0.1) for tag in "ab" for c in range(10)], "tag_id string, time timestamp, cell_id long, pdf double")
+    layers = emission.without_acoustic(emission.combine_with_acoustic(e, heard), heard)
+    got = {(r.tag_id, r.cell_id): r.pdf for r in emission.combine(layers, ["pdf", "acoustic"]).collect()}
+    assert got["a", 0] is None and all(got["a", c] == pytest.approx(1 / 9) for c in range(1, 10))
+    assert all(got["b", c] == pytest.approx(0.1) for c in range(10))
+
+
+def test_boxes_hold_all_their_cells(spark):
+    for level, lat, lon in ((7, (46.0, 51.0), (-8.0, -1.0)), (3, (60.0, 90.0), (-180.0, 180.0)), (8, (-2.0, 3.0), (178.0, -177.0)), (2, (-90.0, -75.0), (0.0, 360.0))):
+        every = np.arange(12 * 4**level)
+        y, x = healpix.centres(level, every)
+        across = (x >= lon[0]) | (x <= lon[1]) if lon[0] > lon[1] else (x >= lon[0]) & (x <= lon[1]) if lon[1] - lon[0] < 360 else x == x
+        want = set(every[(y >= lat[0]) & (y <= lat[1]) & across].tolist())
+        assert {r.cell_id for r in healpix.cells_in_box(spark, level, lat, lon).collect()} == want and want
+
+
+def test_places_snap_to_their_cells(spark):
+    """The default deviation is far below a cell's size, and still the release's cell has all the probability."""
+    grid = healpix.cells_in_box(spark, 6, (46.0, 51.0), (-8.0, -1.0))
+    events = spark.createDataFrame([("a", "release", 48.111, -4.222), ("b", "release", None, None)], "tag_id string, event_name string, latitude double, longitude double")
+    got = emission.position_pdf(grid, events, "release", 1e-5, level=6).filter("p > 0").collect()
+    at = grid.limit(1).select(healpix.place_to_cell(6, F.lit(48.111), F.lit(-4.222)).alias("c")).first().c
+    assert [(r.tag_id, r.cell_id, r.p) for r in got] == [("a", at, 1.0)]
 
 
 T0 = datetime(2022, 1, 1)

@@ -3,6 +3,7 @@
 import json
 import struct
 import warnings
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -107,18 +108,23 @@ def test_model_source(spark, tmp_path):
     assert model.static_product("cmems_mod_glo_phy_anfc_0.083deg_P1D-m") == "cmems_mod_glo_phy_anfc_0.083deg_static"
 
 
-def test_workflow(spark, root, tmp_path):
+def test_workflow(spark, root, tmp_path, monkeypatch):
     path, out = str(tmp_path / "sea.parquet"), str(tmp_path / "out")
     sea(spark).write.parquet(path)
     loaded, slices = tags.load_tag(spark, root)
-    settings = workflow.Settings(level=5, initial_std=0.05, differences_std=2.0, buffer="60 km")
+    settings = workflow.Settings(level=7, differences_std=2.0, buffer="60 km", adjustment=300.0)
     tables = workflow.prepare(spark, loaded, slices, model.load_model(spark, path), out, settings, (46.0, -8.0, 0.5))
     sums = tables["combined"].groupBy("time").agg(F.sum("pdf").alias("s")).collect()
     assert sums and all(r.s == pytest.approx(1.0) for r in sums)
-    fits = workflow.estimate(spark, out, settings).collect()
-    assert len(fits) == 1 and fits[0].sigma > 0
-    got = workflow.decode(spark, out)
-    assert {r.traj_id for r in got.select("traj_id").distinct().collect()} == {"A1-mean", "A1-mode"}
+    assert tables["initial"].filter("p > 0").count() == 1  # the default deviation leaves the release's cell
+    with pytest.raises(ValueError, match="the bounds are too narrow"):  # no step leaves its cell
+        workflow.estimate(spark, out, replace(settings, adjustment=5.0))
+    monkeypatch.setattr(workflow.diff, "require_below", lambda *_: None)
+    workflow.estimate(spark, out, settings)
+    store.save_fits(spark.createDataFrame([("A1", 0.01, 1.0, 9)], "tag_id string, sigma double, score double, evaluations int"), out)
+    assert store.load_parameters(spark, out)["predictor"]["kind"] == "sphere"
+    got = workflow.decode(spark, out, ("mean", "mode", "viterbi"))
+    assert {r.traj_id for r in got.select("traj_id").distinct().collect()} == {"A1-mean", "A1-mode", "A1-viterbi"}
     assert got.filter("latitude between 45 and 51 and longitude between -9 and -1").count() == got.count() > 0
 
 
