@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from driftmark.llm import bpe, decontaminate, lattice, licenses, minhash, packed_ids, pii, quality, substring, url_filter
 
 
+#: A key that everyone knows, for results that can be compared; whoever publishes a corpus passes a secret one.
+PUBLIC_KEY = "known to everyone"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,7 +53,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.anonymise(table(spark, sf_dir, "documents"))
+    return pii.anonymise(table(spark, sf_dir, "documents"), PUBLIC_KEY)
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

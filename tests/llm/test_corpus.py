@@ -255,7 +255,7 @@ PRIVATE = ["mail tnf.01@mail0.example.com or TNF.01@mail0.example.com", "+1 (386
 
 def test_surrogates(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(CLEAN + PRIVATE)] * 2, "doc_id long, text string")
-    rows = pii.anonymise(df).collect()
+    rows = pii.anonymise(df, "k").collect()
     assert len(rows) == 2 * len(CLEAN + PRIVATE)
     got = {r.doc_id: r for r in rows}
     assert len({(r.doc_id, r.text) for r in rows}) == len(got)
@@ -273,20 +273,47 @@ def test_surrogates(spark):
     m = re.fullmatch(r"Mrs\. (\w+na) (\w+son) met Mr\. (\w+) at (2[45]\d\.\d+\.\d+\.\d+); password=[0-9a-f]{18}", p[3])
     assert m and m[2] == m[3] and m[4] in p[5]
     assert re.match(r"г-жа [А-Я][а-я]+ов; DE\d{20}; \d{3}-\d\d-\d{4}", p[4])
-    assert pii.anonymise(df.limit(0)).count() == 0
+    assert pii.anonymise(df.limit(0), "k").count() == 0
+
+
+def test_coreference_and_checks(spark):
+    long = "word " * 300_000
+    texts = [
+        "Mr. Smith met John Smith. smith left, SMITH stayed, Smithson too.",
+        "call +1 212 555 0142 or +44 212 555 0142 or 212-555-0142",
+        "+1 (386) 555-3733, 386-555-3733",
+        "no card 1234-567-8901234567890 4777431686562175 but 4777431686562174 27",
+        "DE44500105175407324932 is none, DE44 5001 0517 5407 3249 31 is",
+        "smith here is no one",
+        long + "a@b.example.com",
+    ]
+    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)] + [(None, texts[0], 6)], "doc_id long, text string, __pii_row int")
+    rows = pii.replace(df, "k", marked="changed").collect()
+    got = {r.doc_id: r for r in rows}
+    assert {r["__pii_row"] for r in rows} == {5, 6} and got[None].text == got[0].text
+    m = re.fullmatch(r"Mr\. (\w+) met John (\w+)\. (\w+) left, (\w+) stayed, Smithson too\.", got[0].text)
+    assert m and m[1] == m[2] == m[3].title() == m[4].title() != "Smith" and m[3].islower() and m[4].isupper()
+    m = re.fullmatch(r"call \+1 (\d{3} \d{3} \d{4}) or \+44 (\d{3} \d{3} \d{4}) or (\d{3}-\d{3}-\d{4})", got[1].text)
+    assert m and len({x.replace("-", " ") for x in m.groups()}) == 3  # two numbers end alike, so the third is a third
+    m = re.fullmatch(r"\+1 \((\d{3})\) (\d{3}-\d{4}), (\d{3})-(\d{3}-\d{4})", got[2].text)
+    assert m and (m[1], m[2]) == (m[3], m[4])
+    assert re.fullmatch(r"no card 1234-567-8901234567890 4777431686562175 but 4\d{15} 27", got[3].text) and "4777431686562174" not in got[3].text
+    assert re.fullmatch(r"DE44500105175407324932 is none, DE\d+ is", got[4].text)
+    assert got[5].text == texts[5] and not got[5].changed
+    assert got[6].text.startswith(long) and "a@b" not in got[6].text and got[6].changed
 
 
 def test_surrogates_stay_distinct(spark):
     # ten possible one-digit users: more entities than surrogates, so the suffix must tell them apart
     e = spark.createDataFrame([("email", f"{k}@example.com") for k in range(10)] + [("ssn", f"{k:09d}") for k in range(300)], "kind string, canon string")
-    got = pii.surrogates(Workspace(spark, "t"), e).collect()
+    got = pii.surrogates(Workspace(spark, "t"), e, "k").collect()
     assert len(got) == 310 and len({(r.kind, r.surrogate) for r in got}) == 310
     assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.canon) for r in e.collect()}
 
 
 def test_replace_keeps_columns(spark):
     df = spark.createDataFrame([(1, "mail a.b@example.com now", 23, "en"), (2, None, None, None)], "doc_id long, text string, n_chars int, e string")
-    got = pii.replace(df, chars="n_chars")
+    got = pii.replace(df, "k", chars="n_chars")
     assert got.schema == df.schema and all(r.n_chars == (len(r.text) if r.text else None) for r in got.collect())
 
 
