@@ -28,6 +28,7 @@ DICTIONARY_BYTES = 112_640
 LEVEL = 3
 #: Labelled rows a class that a fit may use at most, and bytes of text a class that enter a dictionary's training.
 SAMPLE_ROWS = 3000
+#: Bytes of that sample's texts a class, in whole texts in the order of their id's hash, that a dictionary is trained on.
 TRAIN_BYTES = 8_000_000
 THRESHOLD = 0.3
 
@@ -104,6 +105,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 20
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary of DICTIONARY_BYTES from about TRAIN_BYTES of the sample; of a sample too small to train on, the start of its text."""
     parts, total = [], 0
     for cut in map(blocks, texts):
         parts += cut

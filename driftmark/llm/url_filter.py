@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: The rules of the query, (verdict, rule).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Globs on host and path that block where no rule decides.
+#: Globs on host and path that block where no rule decides; a starting list, ``read_globs`` reads longer ones.
 BLOCK_GLOBS = (("*casino*", "*"), ("*free-bets*", "*"), ("*poker*", "*"), ("*xxx*", "*"), ("*porn*", "*"), ("*malware*", "*"), ("*phish*", "*"), ("*cheap-pills*", "*"), ("*torrent*", "*"), ("*", "*/phishing/*"), ("*", "*.exe"))
 #: Bytes of URLs that are simulated together.
 CELLS = 4_000_000
@@ -95,6 +95,13 @@ def rule_glob(rule: str) -> tuple[str, str]:
     return f"*.{host}", f"/{path}*"
 
 
+def read_globs(path: str) -> tuple[tuple[str, str], ...]:
+    """Globs of (host, path) from a text file, one a line with white space between; ``#`` starts a comment, no path is any."""
+    with open(path, encoding="utf-8") as f:
+        parts = [line.split("#")[0].split() for line in f]
+    return tuple((p[0], p[1] if len(p) > 1 else "*") for p in parts if p)
+
+
 def host_column(url: str = "url") -> Column:
     raw = F.coalesce(F.regexp_extract(F.col(url), r"(?s)\A.*?://([^/?#]*)", 1), F.lit(""))
     return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

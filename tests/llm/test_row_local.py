@@ -242,11 +242,11 @@ def test_wand_finds_what_scoring_everything_finds():
     assert hits > 100
 
 
-def test_digest_of_ids(spark, judge):
+def test_digest_of_ids(spark, judge, tmp_path):
     from driftmark.llm import queries
 
-    spark.createDataFrame([(1, "Hello, world"), (2, None)], "doc_id long, text string").write.mode("overwrite").parquet("/tmp/driftmark-test/documents.parquet")
-    got = {r.doc_id: r for r in queries.op10_byte_bpe(spark, "/tmp/driftmark-test").collect()}
+    spark.createDataFrame([(1, "Hello, world"), (2, None)], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_byte_bpe(spark, str(tmp_path)).collect()}
     ids = np.array(judge.encode_ordinary("Hello, world"), "<u4").tobytes()
     assert got[1].ids_sha256 == hashlib.sha256(ids).hexdigest() and got[1].n_tokens == len(ids) // 4
     assert got[1].decoded_sha256 == hashlib.sha256(b"Hello, world").hexdigest() and got[2].n_tokens == 0
