@@ -28,6 +28,9 @@ def create_session(name: str = "driftmark", master: str | None = None, workers:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for ``name`` where all executors can write: under spark.checkpoint.dir, or local where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftmark-")
+    """A new folder for ``name`` where all executors can write: under spark.checkpoint.dir, or where that is unset and all runs on one machine a local one."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="driftmark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
