@@ -57,7 +57,7 @@ LOOSE = 8
 #: A leader's spans start and stop on multiples of this.
 GRID = 32
 #: Seeds of a block at most, over all ranges; bytes of input that one range of hashes stands for.
-PIECE_SEEDS, RANGE_BYTES = 2_000_000, 16 << 20
+PIECE_SEEDS, RANGE_BYTES = 1_000_000, 4 << 20
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -191,19 +191,43 @@ def _leaders(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(made, columns=[SLOT, "named", "payload"])
 
 
-def _answers(table: pa.Table) -> list[np.ndarray]:
-    """(hash, leader's slot, row, place, last one's slot, row, place) of a slot's shared seeds; the last one's row is -1 where untold."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for named, payload in zip(table.column("named").to_pylist(), table.column("payload").to_pylist(), strict=True):
-        names = unpack(named)[0]
-        steps, lead_slot, row, pos, last_slot, last_row, last_pos = unpack(payload)
-        own = (np.cumsum(steps, dtype=np.uint64), names[lead_slot], row.astype(np.int64), pos.astype(np.int64))
-        far = (names[np.maximum(last_slot, 1) - 1], last_row.astype(np.int64) - 1, last_pos.astype(np.int64) - 1)
-        for col, v in zip(cols, (*own, *far), strict=True):
-            col.append(v)
-    out = [np.concatenate(c) for c in cols]
-    order = np.argsort(out[0], kind="stable")
-    return [c[order] for c in out]
+class Answers:
+    """A slot's shared seeds in order of their hash: leaders' slots (as places in ``names``), rows and places, and where
+    the leader is in the slot itself the same of the last row that has the seed."""
+
+    def __init__(self, table: pa.Table):
+        held = [(unpack(a)[0], unpack(b)) for a, b in zip(table.column("named").to_pylist(), table.column("payload").to_pylist(), strict=True)]
+        held.sort(key=lambda x: int(x[1][0][0]))  # ranges of hashes follow each other
+        self.names = np.unique(np.concatenate([n for n, _ in held]))
+        sizes = np.cumsum([0, *(len(c[0]) for _, c in held)])
+        n = int(sizes[-1])
+        self.h, self.slot, self.row, self.pos = np.empty(n, np.uint64), np.empty(n, np.int32), np.empty(n, np.uint16), np.empty(n, np.uint32)
+        far = []
+        while held:
+            names, (steps, slot, row, pos, last_slot, last_row, last_pos) = held.pop()
+            a, b = sizes[len(held)], sizes[len(held) + 1]
+            code = np.searchsorted(self.names, names).astype(np.int32)
+            self.h[a:b], self.slot[a:b], self.row[a:b], self.pos[a:b] = np.cumsum(steps, dtype=np.uint64), code[slot], row, pos
+            told = np.flatnonzero(last_slot)
+            far.append((told + a, code[last_slot[told] - 1], last_row[told] - 1, last_pos[told] - 1))
+        self.told, self.far_slot, self.far_row, self.far_pos = (np.concatenate([f[k] for f in reversed(far)]) for k in range(4))
+
+    def matches(self, slot: int, row: int, h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(leader's slot's place in names, its row, its place, own place) of a row's seeds; not of the leader's own place."""
+        k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        hit = self.h[k] == h
+        k, pos = k[hit], pos[hit].astype(np.int64)
+        code = np.searchsorted(self.names, slot)
+        own = (self.slot[k] == code) & (self.row[k] == row) if code < len(self.names) and self.names[code] == slot else np.zeros(len(k), bool)
+        lead_slot, lead_row, at = self.slot[k].astype(np.int64), self.row[k].astype(np.int64), self.pos[k].astype(np.int64)
+        good = ~own
+        if own.any():
+            other = np.flatnonzero(own & (pos != at))
+            t = np.minimum(np.searchsorted(self.told, k[other]), len(self.told) - 1)
+            other, t = other[self.told[t] == k[other]], t[self.told[t] == k[other]]
+            lead_slot[other], lead_row[other], at[other] = self.far_slot[t], self.far_row[t], self.far_pos[t]
+            good[other] = True
+        return lead_slot[good], lead_row[good], at[good], pos[good]
 
 
 def _thinned(lead: np.ndarray, pos: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -276,8 +300,9 @@ def _chained(shelf: Shelf):
             for slot, row, doc, t in zip(part[SLOT], part[ROW], part["doc"], part["text"], strict=True):
                 if slot != now:
                     there, now = shelf.of(slot), slot
-                    known = None if there is None else _answers(there)
-                    shelf._last = (None, None)
+                    shelf._last, known = (None, None), None
+                    known = None if there is None else Answers(there)
+                    there = None
                 if known is not None:
                     rows += [(slot, row, doc, *c) for c in _chains_of(slot, row, word_hashes(t), known)]
             yield pd.DataFrame(rows, columns=[SLOT, ROW, "doc", "lead_slot", "lead_row", "a", "b", "a0", "b0", "b1", "words"])
@@ -285,21 +310,21 @@ def _chained(shelf: Shelf):
     return make
 
 
-def _chains_of(slot: int, row: int, words: np.ndarray, known: list[np.ndarray]) -> Iterator[tuple]:
+def _chains_of(slot: int, row: int, words: np.ndarray, known: Answers) -> Iterator[tuple]:
     h, pos = seeds(words)
-    h = h.view(np.uint64) >> np.uint64(16)
-    k = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
-    k, pos = k[known[0][k] == h], pos[known[0][k] == h].astype(np.int64)
-    own = (known[1][k] == slot) & (known[2][k] == row)
-    lead_slot, lead_row, at = (np.where(own, known[i + 3][k], known[i][k]) for i in (1, 2, 3))
-    # no match: the leader's own place, and one whose other place isn't told
-    good = ~(own & (pos == known[3][k])) & (lead_row >= 0) & ~((lead_slot == slot) & (lead_row == row))
-    lead_slot, lead_row, at, pos = lead_slot[good], lead_row[good], at[good], pos[good]
+    lead_slot, lead_row, at, pos = known.matches(slot, row, h.view(np.uint64) >> np.uint64(16), pos)
     if len(pos) < 2:
         return
-    leads, lead = np.unique(np.stack([lead_slot, lead_row]), axis=1, return_inverse=True)
-    many = np.bincount(lead)[lead] > 1  # one seed covers KMER words, which is less than LEAST_COVER
-    lead, at, pos = lead[many], at[many], pos[many]
+    order = np.lexsort((pos, lead_row, lead_slot))
+    lead_slot, lead_row, at, pos = lead_slot[order], lead_row[order], at[order], pos[order]
+    start = _first_of(lead_slot, lead_row)
+    lead = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(pos))))
+    leads = known.names[lead_slot[start]].tolist(), lead_row[start].tolist()
+    # no chain covers more words than all seeds with one leader
+    step = np.minimum(np.diff(pos, append=pos[-1]), KMER)
+    step[np.append(start[1:], len(pos)) - 1] = KMER
+    enough = np.add.reduceat(step, start)[lead] >= LEAST_COVER
+    lead, at, pos = lead[enough], at[enough], pos[enough]
     if not len(pos):
         return
     pick = _thinned(lead, pos, at)
@@ -316,9 +341,9 @@ def _chains_of(slot: int, row: int, words: np.ndarray, known: list[np.ndarray])
             if min(_cover(a), _cover(b)) < LEAST_COVER:
                 continue
             a0, b0, b1 = max(0, a[0] - REACH), max(0, b[0] - REACH) // GRID * GRID, -(-(b[-1] + KMER + REACH) // GRID) * GRID
-            places = [np.diff(v, prepend=0).astype(np.int32).tobytes() for v in (a, b)]
+            places = [np.array([v[0], *map(int.__sub__, v[1:], v)], dtype=np.int32).tobytes() for v in (a, b)]
             i = int(lead[part[0]])
-            yield int(leads[0, i]), int(leads[1, i]), *places, a0, b0, b1, short[a0 : a[-1] + KMER + REACH].tobytes()
+            yield leads[0][i], leads[1][i], *places, a0, b0, b1, short[a0 : a[-1] + KMER + REACH].tobytes()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
