@@ -57,7 +57,7 @@ LOOSE = 8
 #: A leader's spans start and stop on multiples of this.
 GRID = 32
 #: Seeds of a block at most, over all ranges; bytes of input that one range of hashes stands for.
-PIECE_SEEDS, RANGE_BYTES = 1_000_000, 4 << 20
+PIECE_SEEDS, RANGE_BYTES = 400_000, 2 << 20
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -122,6 +122,7 @@ def _blocks(ranges: int):
 
     def flush(slot: int, held: list) -> pd.DataFrame:
         h, row, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+        held.clear()
         order = np.argsort(h, kind="stable")
         h, row, pos = h[order], row[order], pos[order]
         each = _first_of(h, row)  # a row's first place of a seed
@@ -165,8 +166,10 @@ def _leaders(part: pd.DataFrame) -> pd.DataFrame:
         steps, row, pos = unpack(payload)
         held.append((np.cumsum(steps, dtype=np.uint64), np.full(len(row), np.searchsorted(slots, slot), np.uint32), row, pos))
     h, own, row, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
+    del held
     order = np.lexsort((pos, row, own, h))
     h, own, row, pos = h[order], own[order], row[order], pos[order]
+    del order
     start = _first_of(h)
     size = np.diff(np.append(start, len(h)))
     last = start + size - 1
