@@ -1,11 +1,14 @@
 """Near-duplicate embeddings by E8 lattice hashing.
 
 Each of TABLES tables projects unit vectors at random to BLOCKS blocks of eight numbers and decodes every block to the
-nearest point of the E8 lattice; the points are the cell.  A vector is stored in its own cell and probes the PROBES
-neighbouring cells that it is nearest to.  Every pair found is verified: first against an upper bound of its cosine
-from codes of a byte a component, then by its cosine in double precision.
-
-At scale: equal vectors form a class of which one goes on.  In a cell, members are first compared with the cell's
+nearest point of the E8 lattice; the points are the cell.  A vector is stored in its own cell and in the PROBES
+neighbouring cells that it is nearest to, and looks for others in the same ones: two vectors meet where any of their
+cells is one, most likely the cell of the point half way between them.  As both sides have neighbours, few of them do
+what one side alone needs many for.  Every pair found is verified: first against an upper bound of its cosine from
+codes of a byte a component, then by its cosine in double precision.
+
+At scale: a vector sends TABLES * (PROBES + 1) keys through one shuffle, drawn anew from the vector where they are
+wanted, so no list of cells is stored.  Equal vectors form a class of which one goes on.  In a cell, members are first compared with the cell's
 leader alone; those within half the linking angle of one leader are a cluster, whose members link with each other for
 certain, so a cluster of n near copies costs n comparisons.  Only pairs from different clusters are compared one by one.
 
@@ -29,7 +32,9 @@ from driftmark.llm.common import Workspace, components
 from driftmark.llm.minhash import mix64
 from driftmark.llm.textbatch import small_batches
 
-COSINE, TABLES, BLOCKS, PROBES, WIDTH, SEED = 0.9, 24, 3, 16, 2.2, 20_240_101
+#: A pair at COSINE meets in one table with probability 0.205 (64 components, by simulation), in none with 0.0026;
+#: unrelated vectors meet in one with 5e-6.
+COSINE, TABLES, BLOCKS, PROBES, WIDTH, SEED = 0.9, 26, 3, 5, 2.0, 20_240_101
 
 
 def roots() -> np.ndarray:
@@ -88,19 +93,20 @@ def tables(dim: int) -> list[Table]:
     return out
 
 
-def cells(unit: np.ndarray, drawn: list[Table]) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of unit vectors: own cell by table, and neighbouring cells by table and probe, as 64-bit keys."""
+def cells(unit: np.ndarray, drawn: list[Table], probes: int) -> np.ndarray:
+    """For rows of unit vectors: own cell by table, and after it so many neighbouring ones, as 64-bit keys."""
     n = len(unit)
-    own, near = np.empty((n, TABLES), dtype=np.int64), np.empty((n, TABLES, PROBES), dtype=np.int64)
+    out = np.empty((n, TABLES, 1 + probes), dtype=np.int64)
     for t, table in enumerate(drawn):
         y = (unit @ table.projection).reshape(n * BLOCKS, 8)
         b = decode(y)
         base = ((2 * b).astype(np.int64).reshape(n, BLOCKS, 8) * table.factors).sum(axis=(1, 2))
-        gain = ((y - b) @ ROOTS.T).reshape(n, BLOCKS * len(ROOTS))  # the nearer a neighbour, the greater
-        pick = np.argpartition(-gain, PROBES - 1, axis=1)[:, :PROBES]
-        own[:, t] = _key(base, t)
-        near[:, t] = _key(base[:, None] + table.steps.reshape(-1)[pick], t)
-    return own, near
+        out[:, t, 0] = _key(base, t)
+        if probes:
+            gain = ((y - b) @ ROOTS.T).reshape(n, BLOCKS * len(ROOTS))  # the nearer a neighbour, the greater
+            pick = np.argpartition(-gain, probes - 1, axis=1)[:, :probes]
+            out[:, t, 1:] = _key(base[:, None] + table.steps.reshape(-1)[pick], t)
+    return out
 
 
 def _key(x: np.ndarray, t: int) -> np.ndarray:
@@ -126,15 +132,29 @@ def _units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"vec_id": part["vec_id"], "unit": [None if x is None else x.tobytes() for x in u]})
 
 
-def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    drawn: dict[int, list[Table]] = {}
+def _by_dim(part: pd.DataFrame, drawn: dict[int, list[Table]]) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[Table]]]:
+    """Rows of one number of components each, with their vectors and its tables."""
+    for size, same in part.groupby(part["unit"].map(len)):
+        dim = size // 8
+        if dim not in drawn:
+            drawn[dim] = tables(dim)
+        yield same, np.frombuffer(b"".join(same["unit"]), dtype=np.float64).reshape(-1, dim), drawn[dim]
+
+
+def _own_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[int, list[Table]] = {}
+    for part in parts:
+        for same, unit, drawn in _by_dim(part, known):
+            yield pd.DataFrame({"rep": same["rep"].to_numpy(), "own": list(cells(unit, drawn, 0)[:, :, 0]), "code": [code(u) for u in unit]})
+
+
+def _all_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[int, list[Table]] = {}
     for part in parts:
-        for size, same in part.groupby(part["unit"].map(len)):
-            dim = size // 8
-            if dim not in drawn:
-                drawn[dim] = tables(dim)
-            own, near = cells(np.frombuffer(b"".join(same["unit"]), dtype=np.float64).reshape(-1, dim), drawn[dim])
-            yield pd.DataFrame({"rep": same["rep"].to_numpy(), "own": list(own), "near": list(near.reshape(len(own), -1)), "code": [code(np.frombuffer(u, dtype=np.float64)) for u in same["unit"]]})
+        for same, unit, drawn in _by_dim(part, known):
+            keys = cells(unit, drawn, PROBES).reshape(len(unit), -1)
+            times = keys.shape[1]
+            yield pd.DataFrame({"cell": keys.reshape(-1), "rep": np.repeat(same["rep"].to_numpy(), times), "root": np.repeat(same["root"].to_numpy(), times)})
 
 
 def cosine(a: bytes, b: bytes) -> float:
@@ -167,9 +187,8 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     rows = ws.keep(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(_units, "vec_id long, unit binary"), "units")
     valid = rows.filter("unit is not null and vec_id is not null")
     classes = ws.keep(valid.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "classes")
-    hashed = ws.keep(classes.select("rep", "unit").mapInPandas(_cells, "rep long, own array<long>, near array<long>, code binary"), "cells")
+    hashed = ws.keep(classes.select("rep", "unit").mapInPandas(_own_cells, "rep long, own array<long>, code binary"), "cells")
     own = hashed.select("rep", F.explode("own").alias("cell"))
-    probes = hashed.select("rep", F.explode("near").alias("cell"))
 
     def checked(pairs: DataFrame, vectors: DataFrame, value: Callable[[bytes, bytes], float], bound: float) -> DataFrame:
         def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,10 +211,11 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     member = close.join(follows, "b", "left_anti").groupBy("a").agg(F.min("b").alias("root"))
     clusters = ws.keep(classes.select("rep", "size").join(member.withColumnRenamed("a", "rep"), "rep", "left").select("rep", "size", F.coalesce("root", "rep").alias("root")), "clusters")
 
-    stored = own.join(clusters.select("rep", "root"), "rep")
-    probing = own.unionAll(probes).join(clusters.select(F.col("rep").alias("rep"), "root"), "rep")
-    met = stored.join(probing.select("cell", F.col("rep").alias("other"), F.col("root").alias("other_root")), "cell").filter("root <> other_root")
-    pairs = met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    rooted = classes.select("rep", "unit").join(clusters.select("rep", "root"), "rep")
+    stored = rooted.mapInPandas(_all_cells, "cell long, rep long, root long")
+    others = stored.select("cell", F.col("rep").alias("other"), F.col("root").alias("other_root"))
+    met = stored.join(others, "cell").filter("rep < other and root <> other_root")
+    pairs = met.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
     links = verified(pairs, least, "links")
 
     sizes = clusters.select("rep", "size")
