@@ -14,6 +14,8 @@ characters, each broadcast on its own and searched in a pass of its own; documen
 
 The question is the item's text up to its last ``?``, or else all sentences but the last; the answer is what is left,
 and with a single sentence both are the whole.  Null or empty texts and items hold no words and match nothing.
+Rows that repeat a doc_id are searched each on its own, and an item_id that comes twice is two items of that name, so
+either may give equal pairs of ids more than once.
 """
 
 from __future__ import annotations

@@ -14,6 +14,10 @@ are extended, gaps are aligned by their longest common subsequence, and a chain
 What aligns with IDENTITY or more is a fuzzy copy.  A document's copies that touch are merged, and passages of
 MIN_WORDS words or more are returned, for the leaders too.
 
+What this loses: a passage whose seeds have several leaders, as an earlier document holds a part of it, comes in pieces.
+Up to three words at a joint may stay out, and a piece of under MIN_COPY words that its neighbours don't extend over
+is dropped, which can leave less than MIN_WORDS of a passage that two documents do share.
+
 At scale: no text is shuffled.  A first pass packs seeds in blocks by ranges of their hash (48 bits, as differences of
 sorted ones), at most two places a seed and block, the first and the last row's, so that a seed of all documents sends
 two a block.  Whoever gets a range finds leaders and answers each slot of rows (``slots``) once for each seed that

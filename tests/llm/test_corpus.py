@@ -163,6 +163,45 @@ def test_fuzzy_passages_at_every_identity(spark):
     assert all(r.match_doc_id == k ^ 1 and r.start_word <= 32 and r.end_word >= 88 and r.identity >= 0.8 for k, r in got.items())
 
 
+def test_passages_against_brute_force(spark):
+    rng = random.Random(43)
+    sources = [text(rng, 150).split() for _ in range(6)]
+    texts = [None, ""]
+    for k in range(60):
+        words = text(rng, rng.randrange(0, 120)).split()
+        for source in rng.sample(sources, rng.randrange(0, 4)):
+            at = rng.randrange(0, 100)
+            words += source[at : at + rng.randrange(20, 130)] + text(rng, rng.randrange(5, 60)).split()
+        if k == 30:  # a very long text
+            words += text(rng, 60_000).split() + sources[0]
+        texts.append(" ".join(words))
+
+    def repeated(n):
+        """Each document's places of words that stand in a run of n words which another document holds too."""
+        held: dict = {}
+        for doc, t in enumerate(texts):
+            words = (t or "").split()
+            for i in range(len(words) - n + 1):
+                held.setdefault(tuple(words[i : i + n]), []).append((doc, i))
+        out: dict[int, set] = {}
+        for places in held.values():
+            if len({doc for doc, _ in places}) > 1:
+                for doc, i in places:
+                    out.setdefault(doc, set()).update(range(i, i + n))
+        return out
+
+    got: dict[int, set] = {}
+    for r in substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    least, most = repeated(substring.MIN_WORDS), repeated(substring.MIN_COPY)
+    assert len(least) > 20 and set(got) <= set(most)
+    assert set(least) <= set(got)
+    # not all words: where the leader changes within a run, words at the joint, or a piece of under MIN_COPY words, are lost
+    missed = sum(len(places - got[doc]) for doc, places in least.items())
+    assert missed <= 0.03 * sum(map(len, least.values()))
+    assert all(len(places - most[doc]) <= 4 for doc, places in got.items())
+
+
 def test_passages_of_a_repeated_line(spark):
     rng = random.Random(43)
     lines = ["la", "row your boat", text(rng, 11), text(rng, 16)]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -220,6 +221,52 @@ def test_leaks(spark):
     assert decontaminate.contamination(documents(spark, texts).limit(0), bench).count() == 0
 
 
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(17)
+    vocabulary = [f"v{k}" for k in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+
+    def some(n):
+        return rng.choices(vocabulary, weights, k=n)
+
+    items = [(some(rng.randrange(4, 25)), some(rng.randrange(2, 25))) for _ in range(40)]
+    texts = [None, ""]
+    for _ in range(160):  # whole items, and such as lose words of either part
+        held = some(rng.randrange(0, 200))
+        for question, answer in rng.sample(items, rng.randrange(0, 3)):
+            lost = rng.choice([0, 0, 0.03, 0.1, 0.3])
+            copy = [w if rng.random() >= lost else "gone" for w in question + answer]
+            held += copy[: rng.choice([len(copy), len(copy), len(question)])] + some(rng.randrange(0, 120))
+        texts.append(" ".join(held))
+    bench = spark.createDataFrame([(k, " ".join(q) + "? " + " ".join(a)) for k, (q, a) in enumerate(items)], "item_id long, text string")
+
+    whole = [q + a for q, a in items]
+    mean, span = sum(map(len, whole)) / len(whole), max(map(len, whole))
+    having = Counter(w for x in whole for w in set(x))
+    weight = []
+    for x in whole:
+        norm = 1.2 * (0.25 + 0.75 * len(x) / mean)
+        weight.append({w: math.log(1 + (len(whole) - having[w] + 0.5) / (having[w] + 0.5)) * c * 2.2 / (c + norm) for w, c in Counter(x).items()})
+
+    def share(part, passage):
+        n = min(5, len(part))
+        cut = lambda x: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+        return len(cut(part) & cut(passage)) / len(cut(part))
+
+    want = {}
+    for doc, t in enumerate(texts):
+        words = (t or "").split()
+        for a in range(0, max(1, len(words) - span), span):
+            passage = words[a : a + 2 * span]
+            for k, (q, x) in enumerate(items):
+                score = sum(v for w, v in weight[k].items() if w in passage) / sum(weight[k].values())
+                if score >= 0.6 - 1e-9 and share(q, passage) >= 0.8 and share(x, passage) >= 0.8:
+                    want[doc, k] = max(score, want.get((doc, k), 0))
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contamination(documents(spark, texts), bench).collect()}
+    assert len(want) > 60 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_wand_finds_what_scoring_everything_finds():
     rng = random.Random(8)
     vocabulary = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(4000)]
