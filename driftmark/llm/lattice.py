@@ -13,7 +13,8 @@ leader alone; those within half the linking angle of one leader are a cluster, w
 certain, so a cluster of n near copies costs n comparisons.  Only pairs from different clusters are compared one by one.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing.  Vectors of different
-lengths link with nothing of another length.  Rows that repeat a vec_id are one vector a row; their ids are one node.
+lengths link with nothing of another length.  Rows that repeat a vec_id are one vector a row, each with a row and a
+count of links of its own (the other rows within reach, whatever their id); a component holds all rows of an id.
 """
 
 from __future__ import annotations
@@ -186,7 +187,9 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     half = math.cos(math.acos(least) / 2 - 1e-6)
     rows = ws.keep(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(_units, "vec_id long, unit binary"), "units")
     valid = rows.filter("unit is not null and vec_id is not null")
-    classes = ws.keep(valid.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "classes")
+    grouped = valid.groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    classes = ws.keep(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")  # settled by the write
+    ids = ws.keep(rows.join(classes.select("unit", "rep"), "unit", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("rep")), "ids")
     hashed = ws.keep(classes.select("rep", "unit").mapInPandas(_own_cells, "rep long, own array<long>, code binary"), "cells")
     own = hashed.select("rep", F.explode("own").alias("cell"))
 
@@ -223,9 +226,13 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     outside = ends.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("outside")).withColumnRenamed("a", "rep")
     counts = clusters.join(whole, "root").join(outside, "rep", "left").select("rep", "root", (F.col("whole") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"))
-    edges = links.unionByName(clusters.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # classes that share an id are one component
+    several = ids.filter("rep is not null").groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most")
+    same_id = ids.join(several.select("vec_id", "b"), "vec_id").filter("rep > b").select(F.col("rep").alias("a"), "b")
+    edges = links.unionByName(clusters.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).unionByName(same_id)
     comp = components(ws, edges)
-    named = counts.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n_links", F.coalesce("component", "rep").alias("component"))
-    of = classes.select("unit", "rep").join(named, "rep").select("unit", "n_links", "component")
-    out = rows.join(of, "unit", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("n_links")).alias("n"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    joined = classes.select("rep", "least").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
+    label = joined.groupBy("component").agg(F.min("least").alias("label"))
+    of = joined.select("rep", "component").join(label, "component").join(counts.select("rep", "n_links"), "rep").select("rep", "n_links", "label")
+    out = ids.join(of, "rep", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
