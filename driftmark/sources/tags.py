@@ -6,9 +6,11 @@ a zone they are UTC, which is the session's zone.
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,29 @@ def load_tag(spark: SparkSession, root: str, name: str = "*") -> tuple[Tags, Dat
     return Tags(slice_observations(tags.dst, slices), tags.events, tags.metadata, tags.stations, tags.acoustic), slices
 
 
+def save_tag_files(table: DataFrame, root: str, name: str) -> int:
+    """A table as ``root/<tag_id>/<name>.csv``, a file a tag in time order; the number of rows written.
+
+    Tags are written in tasks of their own.  A file gets its name when it is whole, so a task that runs again does no harm.
+    """
+    columns = [c for c in table.columns if c != "tag_id"]
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root)
+        folder = f"{base}/{key[0]}"
+        files.create_dir(folder, recursive=True)
+        text = part.sort_values("time", kind="stable")[columns].to_csv(index=False, na_rep="NA", date_format="%Y-%m-%dT%H:%M:%S.%fZ")
+        draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        with files.open_output_stream(draft) as f:
+            f.write(text.encode())
+        files.move(draft, f"{folder}/{name}.csv")
+        return pd.DataFrame({"n_rows": [len(part)]})
+
+    return table.groupBy("tag_id").applyInPandas(one, "n_rows long").agg(F.sum("n_rows")).first()[0] or 0
+
+
 def update_stations(stations: DataFrame | None, other: DataFrame, method: str = "merge") -> DataFrame:
     """``replace``: the other table.  ``merge``: both by deployment_id; the rows' values must not contradict each other.
 

@@ -137,3 +137,12 @@ def test_times_are_interpolated_by_parabolas(spark):
     assert {(r.time - t0).seconds // 3600: r.TEMP for r in two.collect()} == {0: 0.0, 1: pytest.approx(2.0), 2: pytest.approx(4.0), 3: 6.0}
     e = spark.createDataFrame([(-5.0,)], "elevation double")
     assert model.depth_from_elevation(e).first().depth == 5.0
+
+
+def test_tag_files_are_written_one_a_tag(spark, tmp_path):
+    t = spark.createDataFrame([("a", datetime(2022, 7, 1, 1, 0, 0, 250), 1.5, None), ("a", datetime(2022, 7, 1), 0.1, 2.0), ("b c", None, 3.0, 4.0)], "tag_id string, time timestamp, temperature double, pressure double")
+    root = f"file://{tmp_path}"
+    assert tags.save_tag_files(t, root, "dst") == 3 == tags.save_tag_files(t, root, "dst")  # written again, no row is there twice
+    assert (tmp_path / "a" / "dst.csv").read_text() == "time,temperature,pressure\n2022-07-01T00:00:00.000000Z,0.1,2.0\n2022-07-01T01:00:00.000250Z,1.5,NA\n"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b c"] and [p.name for p in (tmp_path / "b c").iterdir()] == ["dst.csv"]
+    assert tags.save_tag_files(t.filter("false"), root, "acoustic") == 0
