@@ -51,8 +51,8 @@ PATTERNS = (
     ("name", rf"(?={_TITLE_START})(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: Every entity has one of these characters or a title, which is much quicker to look for than ANY.
-HINT, TITLE_HINT = "[0-9@=:]", rf"(?={_TITLE_START})(?:{_TITLE}) \p{{Lu}}"
+#: Every entity has one of these characters, the start of an access key or a title, which is much quicker to look for than ANY.
+HINT, TITLE_HINT = "[0-9@=:]|AKIA", rf"(?={_TITLE_START})(?:{_TITLE}) \p{{Lu}}"
 DIGIT_KINDS = ("phone", "card", "ssn")
 _PART = "array<struct<kind:string,canon:string>>"
 _NAME_HEAD = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) (?=\p{{Lu}})"
