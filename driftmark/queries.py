@@ -497,6 +497,12 @@ def wrap_and_box(spark, sf_dir):
 LEVEL = 5
 
 
+def place_cell() -> Column:
+    """The cell of a place; its longitude is turned as in the SQL, whose last bit says to which of two cells a place on their edge goes."""
+    whole = F.lit(2 * np.pi)
+    return healpix.angles_to_cell(LEVEL, F.radians(90.0 - F.col("lat")), (F.radians("lon") % whole + whole) % whole)
+
+
 def _healpix_sql() -> str:
     n = 1 << LEVEL
     bits = lambda v: f"list_sum(list_transform(range({LEVEL}), lambda b: CAST(((CAST({v} AS BIGINT) >> b) & 1) << (2 * b) AS BIGINT)))"
@@ -531,7 +537,7 @@ def regrid_cells(spark, sf_dir):
 
 @query(f"WITH h AS ({_healpix_sql()}) SELECT k, round(lat, 9) + 0.0 AS lat, round(lon, 9) + 0.0 AS lon FROM ({_centre_sql('h', LEVEL, 'k')})")
 def snapped_places(spark, sf_dir):
-    lat, lon = healpix.snapped(LEVEL, F.col("lat"), F.col("lon"))
+    lat, lon = healpix.cell_to_place(LEVEL, place_cell())
     return places(spark, sf_dir).select("k", six(lat, 9).alias("lat"), six(lon, 9).alias("lon"))
 
 
