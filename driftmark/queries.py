@@ -549,7 +549,7 @@ def cartesian(spark, sf_dir):
 
 @query(_healpix_sql())
 def healpix_cells(spark, sf_dir):
-    p = places(spark, sf_dir).withColumn("cell_id", healpix.place_to_cell(LEVEL, F.col("lat"), F.col("lon")))
+    p = places(spark, sf_dir).withColumn("cell_id", place_cell())
     face, x, y = healpix.cell_to_face(LEVEL, F.col("cell_id"))
     return p.select("k", "cell_id", face.alias("face"), x.alias("x"), y.alias("y"))
 

@@ -23,7 +23,7 @@ def differing(spark, root, name):
 EDGES = [21870, 44910, 46305, 62595, 67950, 85635]
 
 
-@pytest.mark.parametrize("name", ["snapped_places"])
+@pytest.mark.parametrize("name", ["snapped_places", "healpix_cells"])
 def test_places_on_the_edge_of_cells(spark, tmp_path, name):
     spark.createDataFrame([(k,) for k in [*range(1, 200), *EDGES]], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     assert differing(spark, tmp_path, name) == [[], []]
