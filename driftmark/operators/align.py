@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmark.schema import require
@@ -16,6 +16,20 @@ def axes(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.crossJoin(second)
 
 
+def by_place(df: DataFrame, row_id: str, place: list[str], most: int = 1000) -> DataFrame:
+    """(place, ids): the rows of each place as lists of up to ``most`` structs of their id, for what hangs on the place alone.
+
+    Dealt over as many tasks as a shuffle has, as what is made of a list may be far larger than it.
+    """
+    part = F.floor((F.row_number().over(Window.partitionBy(*place).orderBy(row_id)) - 1) / most)
+    lists = df.select(*place, row_id).withColumn("part", part).groupBy(*place, "part").agg(F.collect_list(F.struct(row_id)).alias("ids"))
+    return lists.repartition(tasks(df.sparkSession)).drop("part")
+
+
+def tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def time_slice(events: DataFrame, order: list[str], by: str = "tag_id", time: str = "time") -> DataFrame:
     """(by, start, stop): the first and second event that has a time, in the order given, not by name."""
     known = require(events, by, time).filter(F.col(time).isNotNull())

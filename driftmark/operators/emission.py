@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.distributions import normal, normalise, planar_normal, spherical_normal
 from driftmark.functions.healpix import snapped
+from driftmark.operators.align import by_place
 
 
 def temperature_pdf(diff: DataFrame, std: float) -> DataFrame:
@@ -19,35 +20,44 @@ def temperature_pdf(diff: DataFrame, std: float) -> DataFrame:
     return diff.withColumn("pdf", normal(F.col("diff"), 0.0, std))
 
 
-def position_pdf(grid: DataFrame, events: DataFrame, event: str, std: float, spherical: bool = True, names: tuple[str, str] = ("lat", "lon"), level: int | None = None) -> DataFrame:
+def position_pdf(grid: DataFrame, events: DataFrame, event: str, std: float, spherical: bool = True, names: tuple[str, str] = ("lat", "lon"), level: int | None = None, digits: int | None = None) -> DataFrame:
     """(tag_id, cell_id, p): for each tag, a Gaussian about the place of its event, normalised over ``grid``.
 
     On a HEALPix grid of a ``level`` the place is its cell's centre, so a deviation far below a cell's size still leaves
-    that cell.  Tags whose event has no place have no rows.  Events are a row a tag and are broadcast while Spark's threshold
-    allows; the grid is never collected.
+    that cell.  Tags whose event has no place have no rows.  A density is worked out once for all cells and tags of the
+    same two places; sums are taken first, so pairs of cells and tags are neither shuffled nor sorted.  With ``digits`` it
+    is rounded, once as well.  Events are a row a tag and are broadcast while Spark's threshold allows; the grid is never
+    collected.
     """
     at = events.filter(F.col("event_name") == event).filter("latitude is not null and longitude is not null").select("tag_id", "latitude", "longitude")
     if level is not None:
         y, x = snapped(level, F.col("latitude"), F.col("longitude"))
         at = at.select("tag_id", y.alias("latitude"), x.alias("longitude"))
-    both = grid.crossJoin(at)
-    lat, lon = F.col(names[0]), F.col(names[1])
+    cells = by_place(grid.select("cell_id", F.col(names[0]).alias("y"), F.col(names[1]).alias("x")), "cell_id", ["y", "x"])
+    y, x, lat, lon = (F.col(c) for c in ("y", "x", "latitude", "longitude"))
     if spherical:
-        p = spherical_normal(lat, lon, (F.col("latitude"), F.col("longitude")), std)
+        p = spherical_normal(y, x, (lat, lon), std)
     else:
         cov = {("x", "x"): std * std, ("x", "y"): 0.0, ("y", "x"): 0.0, ("y", "y"): std * std}
-        p = planar_normal(lon - F.col("longitude"), lat - F.col("latitude"), (0.0, 0.0), cov)
-    return normalise(both.select("tag_id", "cell_id", p.alias("p")), "p", ["tag_id"])
+        p = planar_normal(x - lon, y - lat, (0.0, 0.0), cov)
+    sums = cells.crossJoin(at.select("latitude", "longitude").distinct()).groupBy("latitude", "longitude").agg(F.sum(p * F.size("ids")).alias("total"))
+    whole = at.join(sums, ["latitude", "longitude"]).withColumn("total", F.sum("total").over(Window.partitionBy("tag_id")))
+    places = by_place(whole, "tag_id", ["latitude", "longitude", "total"]).withColumnRenamed("ids", "tags")
+    share = F.try_divide(p, F.col("total"))
+    pairs = cells.crossJoin(places).select("tags", "ids", (share if digits is None else F.round(share, digits)).alias("p"))
+    return pairs.select(F.inline("tags"), "ids", "p").select("tag_id", F.inline("ids"), "p")
 
 
-def compute_emission_pdf(diff: DataFrame, grid: DataFrame, events: DataFrame, differences_std: float = 0.75, initial_std: float = 1e-5, recapture_std: float | None = None, spherical: bool = True, level: int | None = None) -> dict[str, DataFrame]:
+def compute_emission_pdf(diff: DataFrame, grid: DataFrame, events: DataFrame, differences_std: float = 0.75, initial_std: float = 1e-5, recapture_std: float | None = None, spherical: bool = True, level: int | None = None, digits: int | None = None) -> dict[str, DataFrame]:
     """The tables ``emission`` (with pdf), ``initial``, ``final`` (without rows where no recapture place is known) and ``mask``."""
-    last = [position_pdf(grid, events, e, recapture_std or initial_std, spherical, level=level) for e in ("fish_death", "recapture")]
-    final = last[0].unionByName(last[1].join(last[0].select("tag_id").distinct(), "tag_id", "left_anti"))
+    known = events.filter("latitude is not null and longitude is not null").select("tag_id", "event_name", "latitude", "longitude")
+    death = known.filter(F.col("event_name") == "fish_death")
+    other = known.filter(F.col("event_name") == "recapture").join(death.select("tag_id").distinct(), "tag_id", "left_anti")
+    ends = death.unionByName(other).withColumn("event_name", F.lit("final"))
     return {
         "emission": temperature_pdf(diff, differences_std),
-        "initial": position_pdf(grid, events, "release", initial_std, spherical, level=level),
-        "final": final,
+        "initial": position_pdf(grid, events, "release", initial_std, spherical, level=level, digits=digits),
+        "final": position_pdf(grid, ends, "final", recapture_std or initial_std, spherical, level=level, digits=digits),
         "mask": diff.groupBy("cell_id").agg(F.bool_or("ocean_mask").alias("mask")) if "ocean_mask" in diff.columns else grid.select("cell_id", F.lit(True).alias("mask")),
     }
 

@@ -189,9 +189,9 @@ def known_positions(spark, sf_dir):
     recapture = F.when(t % 3 <= 1, at("recapture", F.lit(43.0), -4 + (t % 10) / 5))
     events = u.select("tag_id", F.explode(F.array_compact(F.array(release, death, recapture))).alias("e")).select("tag_id", "e.*")
     grid = receivers(spark, sf_dir).select(F.col("deployment_id").alias("cell_id"), F.col("deploy_latitude").alias("lat"), F.col("deploy_longitude").alias("lon"))
-    out = emission.compute_emission_pdf(grid.withColumn("diff", F.lit(0.0)), grid, events, initial_std=0.05, recapture_std=0.1)
+    out = emission.compute_emission_pdf(grid.withColumn("diff", F.lit(0.0)), grid, events, initial_std=0.05, recapture_std=0.1, digits=9)
     both = out["initial"].withColumn("kind", F.lit("initial")).unionByName(out["final"].withColumn("kind", F.lit("final")))
-    return both.select("kind", "tag_id", "cell_id", six("p", 9).alias("p"))
+    return both.select("kind", "tag_id", "cell_id", (F.col("p") + 0.0).alias("p"))
 
 
 @query("""WITH t AS (SELECT DISTINCT user_id AS tag_id, ts FROM events), d AS (SELECT tag_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY tag_id ORDER BY ts))) / 1e6 AS s FROM t)

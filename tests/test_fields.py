@@ -128,6 +128,29 @@ def test_places_snap_to_their_cells(spark):
     assert [(r.tag_id, r.cell_id, r.p) for r in got] == [("a", at, 1.0)]
 
 
+def test_position_densities_are_not_shuffled(spark):
+    """Cells and tags share places; some tags have none, a tag's death goes before its recapture."""
+    rng = np.random.default_rng(21)
+    cells = [(c, 40.0 + c % 4, -5.0 + c % 3) for c in range(30)]
+    grid = spark.createDataFrame(cells, "cell_id long, lat double, lon double")
+    at = {(t, e): (None if t % 5 == 0 else 41.0 + t % 2, float(rng.integers(-5, -2))) for t in range(20) for e in ("release", "fish_death", "recapture") if e == "release" or (t + len(e)) % 3}
+    events = spark.createDataFrame([(t, e, *p) for (t, e), p in at.items()], "tag_id int, event_name string, latitude double, longitude double")
+    made = emission.compute_emission_pdf(grid.withColumn("diff", F.lit(0.0)), grid, events, initial_std=0.02, recapture_std=0.03)
+    ends = {t: next((at[t, e] for e in ("fish_death", "recapture") if at.get((t, e), (None,))[0] is not None), (None,)) for t in range(20)}
+    for name, places, sd in (("initial", {t: at[t, "release"] for t in range(20)}, 0.02), ("final", ends, 0.03)):
+        want = {}
+        for t, (la, *lo) in places.items():
+            if la is not None:
+                y, x = np.radians([c[1] for c in cells]), np.radians([c[2] for c in cells])
+                a, b = np.radians(la), np.radians(lo[0])
+                w = np.exp(-((2 * np.arcsin(np.sqrt(np.sin((a - y) / 2) ** 2 + np.cos(y) * np.cos(a) * np.sin((b - x) / 2) ** 2)) / sd) ** 2) / 2)
+                want |= {(t, c): pytest.approx(v) for c, v in enumerate(w / w.sum())}
+        got = made[name].collect()
+        assert {(r.tag_id, r.cell_id): r.p for r in got} == want and len(got) == len(want) > 0
+        above = made[name]._jdf.queryExecution().sparkPlan().toString().split("Join")[0].split("CartesianProduct")[0]
+        assert not any(w in above for w in ("Exchange", "Window", "Sort"))
+
+
 T0 = datetime(2022, 1, 1)
 
 
