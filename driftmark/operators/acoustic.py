@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftmark.functions.distributions import normalise
 from driftmark.functions.geodesy import box_degrees, great_circle_m
 from driftmark.functions.units import quantity
-from driftmark.operators.align import bin_start
+from driftmark.operators.align import bin_start, tasks
 
 
 def unknown_receivers(acoustic: DataFrame, stations: DataFrame) -> DataFrame:
@@ -74,29 +74,47 @@ def fill_map(stations: DataFrame, grid: DataFrame, masks: DataFrame, bins: DataF
         return normalise(flat, "fill", ["tag_id", "time"]) if normalised else flat
     if nondetections != "mask":
         raise ValueError("invalid nondetections treatment, choose 'ignore' or 'mask'")
-    covered = active_receivers(stations, bins).join(masks, "deployment_id").select("tag_id", "time", "cell_id").distinct().withColumn("covered", F.lit(True))
+    covered = active_receivers(stations, bins).distinct().join(masks, "deployment_id").select("tag_id", "time", "cell_id").distinct().withColumn("covered", F.lit(True))
     free = every.join(covered, ["tag_id", "time", "cell_id"], "left").withColumn("fill", F.when(F.col("covered").isNull(), 1.0)).drop("covered")
     return normalise(free, "fill", ["tag_id", "time"]) if normalised else free
 
 
-def acoustic_pdf(detections: DataFrame, stations: DataFrame, grid: DataFrame, bins: DataFrame, step: timedelta, origin: datetime, buffer_size: float | str = 1000.0, nondetections: str = "mask") -> DataFrame:
+def acoustic_pdf(detections: DataFrame, stations: DataFrame, grid: DataFrame, bins: DataFrame, step: timedelta, origin: datetime, buffer_size: float | str = 1000.0, nondetections: str = "mask", digits: int | None = None) -> DataFrame:
     """(tag_id, time, cell_id, acoustic) for each bin and cell.
 
     Where something was heard: the counts of the receivers that reach a cell; else the fill map.  Normalised over all
-    cells and then NULL outside the grid's mask, so a time may add up to less than 1.  Without detections or stations
-    the table has no rows.
+    cells and then NULL outside the grid's mask, so a time may add up to less than 1.  Without detections the table has
+    no rows.  Receivers and cells that share a place are taken together until the last step, and rounded (``digits``) once.
     """
-    masks = reception_masks(stations, grid, buffer_size)
+    inside = F.coalesce("mask", F.lit(True)) if "mask" in grid.columns else F.lit(True)
+    sites = _by_place(stations.select("deployment_id", "deploy_latitude", "deploy_longitude", "deploy_time", "recover_time"), "deployment_id", "deploy_latitude", "deploy_longitude")
+    spots = _by_place(grid.select("cell_id", "lat", "lon", inside.alias("mask")), "cell_id", "lat", "lon")
+    site, spot = (t.select(F.col("place").alias(name), *at).dropDuplicates([name]) for t, name, at in ((sites, "deployment_id", ("deploy_latitude", "deploy_longitude")), (spots, "cell_id", ("lat", "lon"))))
+    masks = reception_masks(site, spot, buffer_size)
     counts = _counted(detections, step, origin).join(bins.select("tag_id", "time"), ["tag_id", "time"], "left_semi")
-    heard = counts.join(masks, "deployment_id").groupBy("tag_id", "time", "cell_id").agg(F.sum("count").cast("double").alias("raw"))
+    placed = counts.join(sites.select("deployment_id", "place"), "deployment_id").groupBy("tag_id", "time", F.col("place").alias("deployment_id")).agg(F.sum("count").alias("count"))
+    heard = placed.join(masks, "deployment_id").groupBy("tag_id", "time", "cell_id").agg(F.sum("count").cast("double").alias("raw"))
     times = counts.groupBy("tag_id", "time").agg(F.lit(True).alias("heard"))
     tags = detections.select("tag_id").distinct()
-    fill = fill_map(stations, grid, masks, bins.join(tags, "tag_id", "left_semi"), nondetections, normalised=False)
+    out = sites.select(F.col("place").alias("deployment_id"), "deploy_time", "recover_time").distinct()
+    fill = fill_map(out, spot, masks, bins.join(tags, "tag_id", "left_semi"), nondetections, normalised=False)
     full = fill.join(times, ["tag_id", "time"], "left").join(heard, ["tag_id", "time", "cell_id"], "left")
     chosen = full.withColumn("acoustic", F.when(F.col("heard"), F.coalesce("raw", F.lit(0.0))).otherwise(F.col("fill")))
-    normal = normalise(chosen.select("tag_id", "time", "cell_id", "acoustic"), "acoustic", ["tag_id", "time"])
-    inside = grid.select("cell_id", F.coalesce("mask", F.lit(True)).alias("mask")) if "mask" in grid.columns else grid.select("cell_id", F.lit(True).alias("mask"))
-    return normal.join(inside, "cell_id").select("tag_id", "time", "cell_id", F.when(F.col("mask"), F.col("acoustic")).alias("acoustic"))
+    size = spots.groupBy(F.col("place").alias("cell_id")).agg(F.count("*").alias("n"))
+    total = F.sum(F.col("acoustic") * F.col("n")).over(Window.partitionBy("tag_id", "time"))
+    normal = chosen.join(size, "cell_id").select("tag_id", "time", F.col("cell_id").alias("place"), F.try_divide("acoustic", total).alias("acoustic"))
+    if digits is not None:
+        normal = normal.withColumn("acoustic", F.round("acoustic", digits))
+    n, lists = tasks(grid.sparkSession), spots.groupBy("place", "part").agg(F.collect_list(F.struct("cell_id", "mask")).alias("ids")).drop("part")
+    # dealt over a number of tasks, as the lists are far smaller than the rows that are made of them
+    dealt = normal.repartition(n, "place").join(lists.repartition(n, "place"), "place").select("tag_id", "time", "acoustic", F.inline("ids"))
+    return dealt.select("tag_id", "time", "cell_id", F.when(F.col("mask"), F.col("acoustic")).alias("acoustic"))
+
+
+def _by_place(df: DataFrame, row_id: str, lat: str, lon: str) -> DataFrame:
+    """df with ``place``, the least id at its place, and ``part``, which parts a place's rows by the thousand."""
+    w = Window.partitionBy(lat, lon)
+    return df.withColumns({"place": F.min(row_id).over(w), "part": F.floor((F.row_number().over(w.orderBy(row_id)) - 1) / 1000)})
 
 
 def strongest_receiver(counts: DataFrame) -> DataFrame:

@@ -206,8 +206,8 @@ f AS (SELECT b.tag_id, b.time, g.cell_id, g.mask, t.time IS NOT NULL AS h, CASE
 v AS (SELECT *, CASE WHEN h THEN raw ELSE fill END AS x FROM f)
 SELECT tag_id, time, cell_id, CASE WHEN mask THEN round(x / nullif(sum(x) OVER (PARTITION BY tag_id, time), 0), 9) + 0.0 END AS acoustic FROM v""")
 def acoustic_pdf(spark, sf_dir):
-    p = acoustic.acoustic_pdf(detections(spark, sf_dir), receivers(spark, sf_dir), sea_cells(spark, sf_dir), quarters(spark, sf_dir), QUARTER, datetime(1998, 1, 1), "25.003 km")
-    return p.withColumn("acoustic", six("acoustic", 9))
+    p = acoustic.acoustic_pdf(detections(spark, sf_dir), receivers(spark, sf_dir), sea_cells(spark, sf_dir), quarters(spark, sf_dir), QUARTER, datetime(1998, 1, 1), "25.003 km", digits=9)
+    return p.withColumn("acoustic", F.col("acoustic") + 0.0)
 
 
 FIELD = """raw AS (SELECT label AS tag_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS time, embedding FROM embeddings),

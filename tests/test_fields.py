@@ -170,6 +170,24 @@ def test_acoustic_pdf(spark):
         acoustic.fill_map(stations, grid, acoustic.reception_masks(stations, grid, 1000), bins, "other")
 
 
+def test_many_receivers_and_cells_at_one_place(spark, monkeypatch):
+    """They are taken together: six million pairs of receivers and cells here are two of places."""
+    real, masks = acoustic.reception_masks, []
+    monkeypatch.setattr(acoustic, "reception_masks", lambda *a: masks.append(real(*a)) or masks[-1])
+    st = spark.range(3001).selectExpr("id as deployment_id", "if(id = 3000, 45d, 40d) as deploy_latitude", "0d as deploy_longitude").withColumns({"deploy_time": F.lit(T0), "recover_time": F.when(F.col("deployment_id") < 3000, F.lit(T0 + timedelta(days=99))).otherwise(F.lit(T0))})
+    grid = spark.range(2020).selectExpr("id as cell_id", "case when id < 2000 then 40d when id < 2010 then 45d else 50d end as lat", "0d as lon", "id % 2000 > 0 as mask")
+    heard = spark.createDataFrame([("a", T0 + timedelta(hours=1), min(k, 9)) for k in range(12)], "tag_id string, time timestamp, deployment_id long")
+    bins = spark.createDataFrame([("a", T0 + timedelta(days=k), T0 + timedelta(days=k), T0 + timedelta(days=k + 1)) for k in range(40)], "tag_id string, time timestamp, bin_start timestamp, bin_end timestamp")
+    got = acoustic.acoustic_pdf(heard, st, grid, bins, timedelta(days=1), T0, "1 km").toPandas().round({"acoustic": 9})
+    assert masks[0].count() == 2
+    assert len(got) == len(got[["time", "cell_id"]].drop_duplicates()) == 40 * 2020
+    first, rest = got[got["time"] == T0], got[got["time"] > T0]
+    here = lambda t, low, high: t[(t["cell_id"] >= low) & (t["cell_id"] < high) & (t["cell_id"] % 2000 > 0)]["acoustic"]
+    assert got[got["cell_id"] % 2000 == 0]["acoustic"].isna().all()
+    assert (here(first, 0, 2000) == 0.0005).all() and (here(first, 2000, 2020) == 0).all()
+    assert here(rest, 0, 2000).isna().all() and (here(rest, 2000, 2020) == 0.05).all()
+
+
 def test_reception_over_the_date_line(spark):
     grid = spark.createDataFrame([(0, 10.0, 179.999), (1, 10.0, -179.999), (2, 10.0, 178.0), (3, 89.9999, 20.0)], "cell_id long, lat double, lon double")
     st = spark.createDataFrame([(1, 10.0, 180.0), (2, 89.9999, -160.0)], "deployment_id long, deploy_latitude double, deploy_longitude double")
