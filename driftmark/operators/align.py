@@ -16,10 +16,11 @@ def axes(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.crossJoin(second)
 
 
-def by_place(df: DataFrame, row_id: str, place: list[str], most: int = 1000) -> DataFrame:
+def by_place(df: DataFrame, row_id: str, place: list[str], most: int = 16) -> DataFrame:
     """(place, ids): the rows of each place as lists of up to ``most`` structs of their id, for what hangs on the place alone.
 
-    Dealt over as many tasks as a shuffle has, as what is made of a list may be far larger than it.
+    Dealt over as many tasks as a shuffle has, as what is made of a list may be far larger than it.  A task holds all that
+    is made of one row in memory at once, so lists are short.
     """
     part = F.floor((F.row_number().over(Window.partitionBy(*place).orderBy(row_id)) - 1) / most)
     lists = df.select(*place, row_id).withColumn("part", part).groupBy(*place, "part").agg(F.collect_list(F.struct(row_id)).alias("ids"))

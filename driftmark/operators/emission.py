@@ -42,7 +42,7 @@ def position_pdf(grid: DataFrame, events: DataFrame, event: str, std: float, sph
         p = planar_normal(x - lon, y - lat, (0.0, 0.0), cov)
     sums = cells.crossJoin(at.select("latitude", "longitude").distinct()).groupBy("latitude", "longitude").agg(F.sum(p * F.size("ids")).alias("total"))
     whole = at.join(sums, ["latitude", "longitude"]).withColumn("total", F.sum("total").over(Window.partitionBy("tag_id")))
-    places = by_place(whole, "tag_id", ["latitude", "longitude", "total"]).withColumnRenamed("ids", "tags")
+    places = by_place(whole, "tag_id", ["latitude", "longitude", "total"], 8).withColumnRenamed("ids", "tags")
     share = F.try_divide(p, F.col("total"))
     pairs = cells.crossJoin(places).select("tags", "ids", (share if digits is None else F.round(share, digits)).alias("p"))
     return pairs.select(F.inline("tags"), "ids", "p").select("tag_id", F.inline("ids"), "p")

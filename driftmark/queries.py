@@ -410,7 +410,7 @@ SELECT src, dst, round(w / sum(w) OVER (PARTITION BY dst), 9) AS w FROM r""")
 def sphere_kernel(spark, sf_dir):
     """The spherical kernel as a table, joined by cubes of space."""
     cells = receivers(spark, sf_dir).select(F.col("deployment_id").alias("cell_id"), F.col("deploy_latitude").alias("lat"), F.col("deploy_longitude").alias("lon"))
-    return movement.sphere_kernel_table(cells, 0.011).withColumn("w", F.round("w", 9))
+    return movement.sphere_kernel_table(cells, 0.011, digits=9)
 
 
 @query(f"""WITH {FIELD}, {LAST} SELECT tag_id, (time - 1) // 3 AS frame, time, cell_id, round(40 + (cell_id // 8) * 0.1, 6) AS lat, round(-10 + (cell_id % 8) * 0.1, 6) AS lon, round(pdf, 9) AS states, round(pdf, 9) AS pdf
