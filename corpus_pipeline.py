@@ -46,8 +46,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, whole): packed ids, and whether they decode to the text."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = docs.select("doc_id", "text", bpe.encode_column(spark, path, pattern).alias("ids"))
-    back = ids.select("doc_id", "text", "ids", bpe.decode_column(spark, path, pattern).alias("back"))
+    both = docs.select("doc_id", "text", bpe.round_trip_column(spark, path, pattern).alias("both"))
+    back = both.select("doc_id", "text", "both.*")
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("back") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("whole"))
 
 

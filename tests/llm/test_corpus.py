@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from driftmark.llm import lattice, minhash, pii, substring
+from driftmark.llm import bpe, lattice, minhash, pii, substring
 from driftmark.llm.common import Workspace, components
 
 
@@ -412,3 +413,41 @@ def test_pipeline_drops_near_duplicates_from_80_on(spark, tmp_path):
     assert want < {k for k, c in enumerate(union_find(len(docs), [p for p, j in alike.items() if j >= 85])) if k == c}
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, d, str(tmp_path)).collect()} == want
+
+
+def python_nodes(df):
+    return len(re.findall("MapInPandas|MapInArrow|PythonMapInArrow|ArrowEvalPython|BatchEvalPython", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_a_task_of_the_pipeline_keeps_one_python_worker(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    base = [text(rng, 120) for _ in range(10)]
+    docs = [*base, *[edited(rng, b, k % 3 + 1) for b in base for k in range(3)], "", None, "é\u0000 \U0001f600"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found, keep = {}, Workspace.keep
+
+    def kept(ws, df, name):
+        found[name] = python_nodes(df)
+        return keep(ws, df, name)
+
+    monkeypatch.setattr(Workspace, "keep", kept)
+    corpus_pipeline.without_near_duplicates(spark, d, str(tmp_path)).collect()
+    assert found["links-0"] == 1
+    out = corpus_pipeline.token_ids(spark, d, str(tmp_path))
+    assert python_nodes(out) == 1
+    got = {r.doc_id: r for r in out.collect()}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        own = bpe.encoder(f.read(), public_tokenizers.PATTERN)
+    assert {k: bytes(r.ids) for k, r in got.items()} == {k: own.encode([t or ""])[0] for k, t in enumerate(docs)}
+    assert all(r.whole and r.n_tokens == len(r.ids) // 4 for r in got.values()) and out.columns == ["doc_id", "n_tokens", "ids", "whole"]
+
+
+def test_links_are_exact_at_the_threshold(spark):
+    rng = random.Random(43)
+    rows = [(0, list(range(17)), list(range(20))), (1, list(range(16)), list(range(20))), (2, [-1, 2**63 - 1], [2**63 - 1, -1]), (3, [1], [2])]
+    rows += [(k, rng.sample(range(-60, 60), rng.randrange(90, 121)), rng.sample(range(-60, 60), rng.randrange(90, 121))) for k in range(4, 200)]
+    want = {k for k, a, b in rows if 100 * len({*a} & {*b}) >= 85 * len({*a} | {*b})}
+    got = spark.createDataFrame(rows, "k long, a array<long>, b array<long>").filter(minhash.linked(F.col("a"), F.col("b"), 85))
+    assert {r.k for r in got.collect()} == want and {0, 2} <= want and 4 < len(want) < 190 and not want & {1, 3}
